@@ -28,8 +28,11 @@ from pyspark.sql import DataFrame
 
 from .kernel import SPACE, ragged, slices, span_hash
 
-KEEP = 400_000  # chunks that a task remembers before it starts afresh
-_PLAIN = re.compile(rb" ?[A-Za-z]+")
+KEEP = 1_500_000  # chunks that a task remembers before it starts afresh
+# chunks of letters and signs whose split needs no general Unicode classes
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+_PLAIN = re.compile(f" ?(?:{_LETTERS}|[0-9]|[!-&(-/:;=-@\\[-`{{-~])+")
+_PARTS = re.compile(f" ?{_LETTERS}+| ?[0-9]+| ?[!-/:-@\\[-`{{-~]+")
 
 
 def byte_letters() -> list[str]:
@@ -86,20 +89,19 @@ class Bpe:
 
     def merge(self, word: str) -> list[int]:
         """The exact result: the earliest learnt pair is merged first, leftmost first."""
-        parts = list(word)
-        while len(parts) > 1:
-            best = min(((self.rank.get(p, 1 << 60), p) for p in zip(parts, parts[1:])), key=lambda x: x[0])
-            if best[0] == 1 << 60:
+        parts, rank, last = list(word), self.rank, 1 << 60
+        ranks = [rank.get(p, last) for p in zip(parts, parts[1:])]
+        while ranks:
+            low = min(ranks)
+            if low == last:
                 break
-            (a, b), out, i = best[1], [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+            i = ranks.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank.get((parts[i - 1], parts[i]), last)
+            if i < len(ranks):
+                ranks[i] = rank.get((parts[i], parts[i + 1]), last)
         return [self.vocab[p] for p in parts if p in self.vocab]
 
     def propose(self, word: str) -> list[int]:
@@ -155,9 +157,9 @@ class Bpe:
 
     def _chunk_words(self, chunk: bytes) -> list[str | int]:
         """The pre-tokens of a chunk; added tokens as their ids."""
-        if _PLAIN.fullmatch(chunk):
-            return [chunk.decode().replace(" ", self.letter_of[32])]
         s, out, at = chunk.decode("utf-8", "replace"), [], 0
+        if _PLAIN.fullmatch(s):
+            return [w.encode().decode("latin-1").translate(self.letter_of) for w in _PARTS.findall(s)]
         for m in self.split.finditer(s) if self.split else ():
             out += [w for w, _ in self.pre.pre_tokenize_str(s[at : m.start()])] if m.start() > at else []
             out.append(self.added[m[0]])

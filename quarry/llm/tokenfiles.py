@@ -32,7 +32,7 @@ from .common import partitions, scratch_path
 from .kernel import Words, ragged, slices
 
 NO_ID = -(1 << 63)
-KEEP = 400_000
+KEEP = 1_500_000
 
 
 def default_path() -> str:
