@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -77,3 +78,14 @@ def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
 def size_words(text: str = "text") -> Column:
     """Number of words of a text; null counts as none."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def delete(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove materialized tables that nothing reads any more, and let Spark drop the shuffle files of finished phases."""
+    jvm = spark.sparkContext._jvm
+    for df in tables:
+        for place in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, tokenfiles
+from . import bpe, mixing, substring, tokenfiles
 from .common import table
 
 
@@ -22,8 +22,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op4_mixing, op8_token_files)}
+    return {f.__name__: f for f in (op2_bpe, op4_mixing, op8_token_files, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
