@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, substring, tokenfiles
+from . import bpe, minhash, mixing, substring, tokenfiles
 from .common import table
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), digest=True)
 
@@ -27,7 +31,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op4_mixing, op8_token_files, op10_substring)}
+    return {f.__name__: f for f in (op1_minhash, op2_bpe, op4_mixing, op8_token_files, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
