@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, substring, tokenfiles
+from . import bpe, minhash, mixing, quality, substring, tokenfiles
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_bpe, op4_mixing, op8_token_files, op10_substring)}
+    return {f.__name__: f for f in (op1_minhash, op2_bpe, op4_mixing, op7_quality, op8_token_files, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
