@@ -6,7 +6,7 @@ i, j there is then a shift below v that puts both on cover positions, so if
 two documents share ``width`` words, they share an anchor (a window of
 width - v + 1 words) that starts on a cover position in both.  Only anchors
 are hashed at first, 6 of 31 windows.  Anchors held by two documents are
-extended: the full windows around them are hashed with 128 bits, the least
+extended: the full windows around them are hashed with 96 bits, the least
 doc_id of each window is found, and in every other document the words of that
 window go.
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import delete, materialize
@@ -107,7 +107,7 @@ def _at_documents(docs: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, lists: DataFrame, width: int, period: int, cover: tuple[int, ...]) -> DataFrame:
-    """Extend anchors: per document the full windows that hold a listed anchor, with 128-bit hashes.
+    """Extend anchors: per document the full windows that hold a listed anchor, with 96-bit hashes.
 
     lists has, per (doc_id, key), shared: indexes of shared anchors, and
     later: which of them a smaller document holds too.  A window without an
@@ -144,11 +144,11 @@ def windows(docs: DataFrame, lists: DataFrame, width: int, period: int, cover: t
                         "key": batch.column(1).slice(i, j - i),
                         "at": _lists(place.astype(np.int32), upto),
                         "h1": _lists(run_hash(hashes, width)[full].view(np.int64), upto),
-                        "h2": _lists(run_hash(hashes, width, 7)[full].view(np.int64), upto),
+                        "h2": _lists(run_hash(hashes, width, 7)[full].view(np.int64).astype(np.int32), upto),
                     }
                 )
 
-    return _at_documents(docs, lists).mapInArrow(run, "doc_id long, key int, at array<int>, h1 array<long>, h2 array<long>")
+    return _at_documents(docs, lists).mapInArrow(run, "doc_id long, key int, at array<int>, h1 array<long>, h2 array<int>")
 
 
 def cut(docs: DataFrame, lists: DataFrame, width: int, texts: bool = False) -> DataFrame:
@@ -180,43 +180,62 @@ def repeats(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, cover: tu
     assert is_cover(cover, period) and width >= period
     spark = docs.sparkSession
     scanned = materialize(scan(docs, width, period, cover), "anchors")
-    lone = scanned.filter("doc_id is not null").select("doc_id", "key", F.posexplode("anchors").alias("i", "h"))
+    base = materialize(scanned.drop("anchors"), "documents")
+    # a copy of a smaller document's whole word sequence goes entirely and witnesses nothing
+    heads = materialize(base.filter("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("head")), "heads")
+    first = heads.select(F.col("head").alias("doc_id")).distinct()
+    lone = scanned.join(first, "doc_id", "left_semi").select("doc_id", "key", F.posexplode("anchors").alias("i", "h"))
+    lone = lone.select("doc_id", _pack("key", "i").alias("place"), "h")
     shared = lone.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h", "low")
     shared = materialize(shared, "shared")
-    lists = lone.join(shared, "h").groupBy("doc_id", "key").agg(
-        F.array_sort(F.collect_set("i")).alias("shared"), F.array_sort(F.collect_set(F.when(F.col("doc_id") > F.col("low"), F.col("i")))).alias("later")
+    delete(spark)
+    own, index = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    lists = lone.join(shared, "h").groupBy("doc_id", own.alias("key")).agg(
+        F.array_sort(F.collect_set(index)).alias("shared"), F.array_sort(F.collect_set(F.when(F.col("doc_id") > F.col("low"), index))).alias("later")
     )
     lists = materialize(lists, "lists")
-    delete(spark, shared)
+    del lone
+    delete(spark, shared, scanned)
     found = materialize(windows(docs, lists, width, period, cover), "windows")
     delete(spark, lists)
     each = found.select("doc_id", "key", F.explode(F.arrays_zip("at", "h1", "h2")).alias("w")).select(
-        "doc_id", "w.h1", "w.h2", F.shiftleft(F.col("key").cast("long"), 32).bitwiseOR(F.col("w.at").cast("long")).alias("place")
+        "doc_id", "w.h1", "w.h2", _pack("key", F.col("w.at")).alias("place")
     )
-    least = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").drop("high")
+    least = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
     least = materialize(least, "least")
     delete(spark)
     gone = each.filter(F.col("place").bitwiseAND(F.lit(1)) == 1).join(least, ["h1", "h2"]).filter("doc_id > low")
-    starts = gone.groupBy("doc_id", F.shiftright("place", 32).cast("int").alias("key")).agg(
-        F.collect_set(F.shiftright(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")).alias("starts")
-    )
+    starts = gone.groupBy("doc_id", own.alias("key")).agg(F.collect_set(F.shiftright(index, 1)).alias("starts"))
     starts = materialize(starts, "starts")
+    del each, gone
     delete(spark, found, least)
-    return scanned.drop("anchors"), starts
+    base = base.join(heads, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("head"), F.lit(False)) & (F.col("n_words") >= width))
+    return base.drop("head"), starts
+
+
+def _pack(key: str, at: str | Column) -> Column:
+    """Two integers in one long."""
+    return F.shiftleft(F.col(key).cast("long"), 32).bitwiseOR((F.col(at) if isinstance(at, str) else at).cast("long"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256."""
     scanned, starts = repeats(docs, **options)
     removed = cut(docs, starts, options.get("width", WIDTH))
+    none = F.lit(hashlib.sha256(b"").hexdigest())
     return scanned.join(removed, ["doc_id", "key"], "left").select(
-        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256")
+        "doc_id",
+        "n_words",
+        F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(F.col("copy"), none).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
     )
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """docs with repeated passages cut from text; a changed text has its kept words joined by one space."""
-    _, starts = repeats(docs, **options)
-    removed = cut(docs, starts, options.get("width", WIDTH), texts=True).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "kept")
+    scanned, starts = repeats(docs, **options)
+    copies = scanned.filter("copy").select("doc_id", "key", F.lit("").alias("kept"))
+    removed = cut(docs, starts, options.get("width", WIDTH), texts=True).select("doc_id", "key", "kept")
+    removed = removed.union(copies.distinct()).toDF("_id", "_key", "kept")
     joined = docs.withColumn("_at", F.hash("text")).join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_key")), "left")
     return joined.select(*[F.coalesce("kept", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
