@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, quality, substring, tokenfiles
+from . import bpe, minhash, mixing, quality, secrets, substring, tokenfiles
 from .common import table
 
 
@@ -30,12 +30,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_bpe, op4_mixing, op7_quality, op8_token_files, op10_substring)}
+    return {f.__name__: f for f in (op1_minhash, op2_bpe, op4_mixing, op7_quality, op8_token_files, op9_secrets, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
