@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, quality, secrets, substring, tokenfiles
+from . import bpe, minhash, mixing, quality, secrets, substring, tokenfiles, topk, toxicity
 from .common import table
 
 
@@ -18,10 +19,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("key")
 
@@ -39,8 +48,8 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_bpe, op4_mixing, op7_quality, op8_token_files, op9_secrets, op10_substring)}
+    return {f.__name__: f for f in (op1_minhash, op2_bpe, op3_toxicity, op4_mixing, op6_topk, op7_quality, op8_token_files, op9_secrets, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_topk": topk.ORACLE}
