@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, quality, secrets, substring, tokenfiles, topk, toxicity
+from . import bpe, minhash, mixing, quality, secrets, substring, tokenfiles, topk, toxicity, urlfilter
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -48,7 +52,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_bpe, op3_toxicity, op4_mixing, op6_topk, op7_quality, op8_token_files, op9_secrets, op10_substring)}
+    return {f.__name__: f for f in (op1_minhash, op2_bpe, op3_toxicity, op4_mixing, op5_url_filter, op6_topk, op7_quality, op8_token_files, op9_secrets, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
