@@ -8,25 +8,38 @@ from pyspark.sql import functions as F
 from .common import delete, materialize
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links(a, b) to (node, component): the smallest node reachable from each node that has a link.
 
-    Every round takes the least label among the neighbours and then the label
-    of that label, until nothing changes; labels are written to the shared
-    folder after each round.
+    Every round hooks each node to its smallest neighbour, follows the hooks
+    to their ends, and contracts the links to those ends.  At least half of
+    the nodes that still have links go in a round, and links that fall
+    together count once from then on.
     """
     spark = links.sparkSession
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).filter("u <> v").distinct()
-    both = materialize(both, "edges")
-    labels = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        step = labels.join(near, "u").select("u", "l", F.least("l", "m").alias("m"))
-        jump = labels.select(F.col("u").alias("m"), F.col("l").alias("j"))
-        found = materialize(step.join(jump, "m", "left").select("u", "l", F.least("m", F.coalesce("j", "m")).alias("n")), "labels")
-        changed = found.filter("l <> n").limit(1).count()
-        delete(spark, labels)
-        labels = found.select("u", F.col("n").alias("l"))
-        if not changed:
-            break
-    return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))
+    edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    labels = None
+    while True:
+        ends = edges.select(F.col("a").alias("u"), "b").union(edges.select("b", "a"))
+        hooks = materialize(ends.groupBy("u").agg(F.least(F.col("u"), F.min("b")).alias("p")), "hooks")
+        while True:
+            jump = hooks.select(F.col("u").alias("p"), F.col("p").alias("q"))
+            longer = materialize(hooks.join(jump, "p").select("u", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "hooks")
+            moved = longer.filter("moved").limit(1).count()
+            delete(spark, hooks)
+            hooks = longer.drop("moved")
+            if not moved:
+                break
+        if labels is None:
+            found = hooks.select(F.col("u").alias("node"), F.col("p").alias("component"))
+        else:
+            step = hooks.select(F.col("u").alias("component"), "p")
+            found = materialize(labels.join(step, "component", "left").select("node", F.coalesce("p", "component").alias("component")), "labels")
+        labels = found
+        to_a, to_b = hooks.toDF("a", "pa"), hooks.toDF("b", "pb")
+        less = edges.join(to_a, "a").join(to_b, "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        less = materialize(less, "edges")
+        delete(spark, edges)
+        edges = less
+        if not edges.limit(1).count():
+            return labels

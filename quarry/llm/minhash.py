@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     texts = materialize(texts, "texts")
 
     same = sound.join(classes, ["s1", "s2"]).filter(F.col("doc_id") != F.col("class")).select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
-    links = materialize(spark.createDataFrame([], "a long, b long"), "links")
+    links = spark.createDataFrame([], "a long, b long")
     labels = members.select("doc_id", F.col("doc_id").alias("component")).distinct()
     sizes = members.select(F.col("doc_id").alias("a"), F.col("n").alias("na")).distinct()
     for salt in range(rounds):
@@ -239,8 +239,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
             (F.col("component") != F.col("other")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         )
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = materialize(links.union(confirm(pairs, texts, width, percent)), "links")
-        labels = _labels(members, links)
+        labels = _labels(members, links.union(confirm(pairs, texts, width, percent)))
+        links = labels.filter("doc_id <> component").select(F.col("component").alias("a"), F.col("doc_id").alias("b"))
 
     # what may be missing: links between components that share a bucket
     sized = labels.join(labels.groupBy("component").agg(F.count("*").alias("size")), "component")
@@ -267,8 +267,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    links = materialize(links.union(blocks).union(confirm(across, texts, width, percent)), "links")
-    grouped = components(links.union(same))
+    grouped = components(links.union(blocks).union(confirm(across, texts, width, percent)).union(same))
     delete(spark, members, texts, at, family, placed)
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
