@@ -244,28 +244,28 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode(docs: DataFrame, path: str | None = None, digest: bool = False) -> DataFrame:
-    """Per document: doc_id, n_tokens and ids; with digest the hashes of the ids and of the text decoded from them instead of ids."""
+def encode(docs: DataFrame, path: str | None = None, digest: bool = False, ids: bool = True) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids if wanted, and with digest the hashes of the ids and of the text decoded from them."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
         for batch in batches:
             for i, j, data, off in slices(batch.column(1)):
-                ids, at = bpe.encode_slice(data, off)
+                flat, at = bpe.encode_slice(data, off)
                 out = {"doc_id": batch.column(0).slice(i, j - i), "n_tokens": pa.array(np.diff(at))}
                 if digest:
-                    back, to = bpe.decode(ids, at)
-                    raw, a, b = ids.astype("<u4").tobytes(), (at * 4).tolist(), to.tolist()
+                    back, to = bpe.decode(flat, at)
+                    raw, a, b = flat.astype("<u4").tobytes(), (at * 4).tolist(), to.tolist()
                     text = back.tobytes()
                     out["ids_sha256"] = [hashlib.sha256(raw[p:q]).hexdigest() for p, q in zip(a, a[1:])]
                     out["decoded_sha256"] = [hashlib.sha256(text[p:q].decode("utf-8", "replace").encode()).hexdigest() for p, q in zip(b, b[1:])]
-                else:
-                    out["ids"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
+                if ids:
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
 
-    columns = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, n_tokens long, {columns}")
+    columns = ["doc_id long", "n_tokens long", *["ids_sha256 string", "decoded_sha256 string"] * digest, *["ids array<int>"] * ids]
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(columns))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

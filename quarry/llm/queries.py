@@ -16,7 +16,7 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), digest=True)
+    return bpe.encode(table(spark, sf_dir, "documents"), digest=True, ids=False)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
