@@ -1,14 +1,14 @@
-"""Shared plumbing: table access, scratch tables, global ranks."""
+"""Shared plumbing of the operators."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import broadcast_if_small, delete, materialize, partitions, ranked, scratch_path, shared_dir
+
+__all__ = ["broadcast_if_small", "delete", "materialize", "partitions", "ranked", "scratch_path", "shared_dir", "size_words", "table"]
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -16,76 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share; a temporary one only where none is configured (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here and lost executors cost nothing."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = 20_000) -> DataFrame:
-    """A broadcast hint only where the counted rows stay under the limit; beyond it the join shuffles and AQE splits hot keys."""
-    return F.broadcast(df) if rows <= limit else df
-
-
-def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
-    """Add a dense 0-based global rank by the columns of order.
-
-    Range partitions are numbered locally as they are written; the rank of a
-    partition's first row is the prefix sum of the counts before it (one
-    number per partition reaches the driver).
-    """
-    spark = df.sparkSession
-    n = partitions(spark)
-    placed = materialize(
-        df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked"
-    )
-    part = F.shiftright("_at", 33)
-    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    base, bases = 0, []
-    for p in sorted(counts):
-        bases.append((int(p), base))
-        base += counts[p]
-    if not bases:
-        return placed.withColumn(name, F.lit(0).cast("long")).drop("_at")
-    first = F.broadcast(spark.createDataFrame(bases, "_part long, _base long"))  # one row per partition
-    return (
-        placed.withColumn("_part", part)
-        .join(first, "_part")
-        .withColumn(name, F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_part", "_base", "_at")
-    )
-
-
 def size_words(text: str = "text") -> Column:
     """Number of words of a text; null counts as none."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def delete(spark: SparkSession, *tables: DataFrame) -> None:
-    """Remove materialized tables that nothing reads any more, and let Spark drop the shuffle files of finished phases."""
-    jvm = spark.sparkContext._jvm
-    for df in tables:
-        for place in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(place)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
