@@ -45,8 +45,12 @@ def read_tree(
     out where the folder is local.
     """
     base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(base)
+    reader = spark.read.format("binaryFile").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    raw = reader.option("recursiveFileLookup", True).load(base)
     local = base.removeprefix("file://")
+    hidden, links = _unlisted(spark, base, local, extra_ignored, keep)
+    if hidden:
+        raw = raw.unionByName(_contents(spark, hidden))
     prefix = F.regexp_replace("path", r"^file:/+", "/") if not re.match(r"^[a-z0-9]+://", base) or base.startswith("file:") else F.col("path")
     start = len(local if base.startswith("file:") else base) + 2
     rows = raw.select(F.substring(prefix, start, 1 << 20).alias("path"), "content", F.col("length").alias("size"), "modificationTime")
@@ -57,10 +61,8 @@ def read_tree(
         for r in sorted(found, key=lambda r: r["path"].rsplit("/", 1)[-1]):  # .gitignore first, so .ignore wins
             rules.setdefault(r["path"].rpartition("/")[0], []).extend(ignore.parse(r["t"]))
         rows = ignore.not_ignored(rows, rules)
-    if os.path.isdir(local):
-        links = [os.path.relpath(os.path.join(d, x), local) for d, dirs, names in os.walk(local) for x in [*dirs, *names] if os.path.islink(os.path.join(d, x))]
-        for link in links:
-            rows = rows.filter((F.col("path") != link) & ~F.col("path").startswith(link + "/"))
+    for link in links:
+        rows = rows.filter((F.col("path") != link) & ~F.col("path").startswith(link + "/"))
 
     def open_(batches):
         for b in batches:
@@ -75,6 +77,47 @@ def read_tree(
     return rows.select("path", "content", "size", ticks).mapInPandas(open_, FILES)
 
 
+def _contents(spark: SparkSession, names: list[str]) -> DataFrame:
+    """The binaryFile columns of files that Spark's reader passes over, read on the executors."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            rows = []
+            for name in b["path"]:
+                at, path = fs.FileSystem.from_uri(name) if "://" in name else (fs.LocalFileSystem(), name)
+                info = at.get_file_info(path)
+                with at.open_input_stream(path) as f:
+                    content = f.read()
+                rows.append((name, pd.Timestamp((info.mtime_ns or 0) // 1000 * 1000), len(content), content))
+            yield pd.DataFrame(rows, columns=["path", "modificationTime", "length", "content"])
+
+    paths = spark.createDataFrame([(n,) for n in names], "path string").repartition(max(1, min(len(names) // 100, 1000)))
+    return paths.mapInPandas(run, "path string, modificationTime timestamp, length long, content binary")
+
+
+def _unlisted(spark: SparkSession, base: str, local: str, extra_ignored: list[str] | None, keep: list[str] | None) -> tuple[list[str], list[str]]:
+    """Files whose names start with '.' or '_', which Spark's listing leaves out, and links; only names are looked at."""
+    skip = {d.lower() for d in [*ps.IGNORED_DIRS, *(extra_ignored or [])]} - {d.lower() for d in keep or []}
+    hidden, links = [], []
+    if os.path.isdir(local):
+        for d, dirs, names in os.walk(local):
+            links += [os.path.relpath(os.path.join(d, x), local) for x in [*dirs, *names] if os.path.islink(os.path.join(d, x))]
+            dirs[:] = [x for x in dirs if x.lower() not in skip and not os.path.islink(os.path.join(d, x))]
+            unseen = any(part[:1] in "._" for part in os.path.relpath(d, local).split(os.sep) if part != ".")
+            hidden += [os.path.join(d, x) for x in names if (unseen or x[0] in "._") and not os.path.islink(os.path.join(d, x))]
+        return hidden, links
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    while found.hasNext():
+        at = found.next().getPath().toString()
+        parts = at[len(path.toString()) + 1 :].split("/")
+        if any(x[0] in "._" for x in parts) and not any(x.lower() in skip for x in parts[:-1]):
+            hidden.append(at)
+    return hidden, links
+
+
 def from_rows(rows: DataFrame, root: Column, path: Column, text: Column) -> DataFrame:
     """Any table as files; the hash is over the text's bytes."""
     return rows.select(root.alias("root"), path.alias("path"), text.alias("text")).withColumns(
