@@ -236,6 +236,7 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     scanned, starts = repeats(docs, **options)
     copies = scanned.filter("copy").select("doc_id", "key", F.lit("").alias("kept"))
     removed = cut(docs, starts, options.get("width", WIDTH), texts=True).select("doc_id", "key", "kept")
-    removed = removed.union(copies.distinct()).toDF("_id", "_key", "kept")
-    joined = docs.withColumn("_at", F.hash("text")).join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_key")), "left")
-    return joined.select(*[F.coalesce("kept", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    removed = removed.union(copies.distinct()).toDF("_id", "_key", "_kept")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_doc"), F.hash("text").alias("_at"))
+    joined = rows.join(removed, (F.col("_doc") == F.col("_id")) & (F.col("_at") == F.col("_key")), "left")
+    return joined.select(*[F.coalesce("_kept", "row.text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
