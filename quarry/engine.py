@@ -16,6 +16,7 @@ from .functions import paths as ps
 from .functions import text as tx
 from .operators import changes, refs, search, symbols
 from .plans.index import Index
+from .plans.ship import ship
 from .sources import tree
 
 SEARCH_CAP, REFERENCE_CAP, CALLEE_CAP, SYMBOL_CAP, DEFINITION_CAP = 50, 100, 50, 50, 50
@@ -31,6 +32,7 @@ class Engine:
     """One index over several roots; the first root is the primary one."""
 
     def __init__(self, spark: SparkSession, folder: str, roots: list[str] | None = None):
+        ship(spark)
         self.spark, self.index, self.roots = spark, Index(spark, folder), [r.rstrip("/") for r in roots or []]
         self.focused: list[str] = []
         linked = self.index._get(f"{folder.rstrip('/')}/links.json")
