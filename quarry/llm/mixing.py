@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import broadcast_if_small, materialize, ranked, size_words
@@ -59,7 +58,7 @@ def copies(docs: DataFrame, seed: int = 17, share: float = SHARE, weights: tuple
     n_sources = sources.count()
     starts = placed.groupBy("src").agg(F.min("place").alias("first"))
     sources = sources.join(starts, "src")
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.col("src")), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("src"))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at = F.col("place") - F.col("first")
     return (
@@ -98,7 +97,11 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM d GROU
 k AS (SELECT *, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
 o AS (SELECT *, sum(2 * source_size) OVER w - 2 * source_size AS full_before, sum(weight) OVER () - (sum(weight) OVER w - weight) AS left_weight,
         sum(source_size) OVER () AS total FROM k WINDOW w AS (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
-l AS (SELECT min((1.5::DOUBLE * total - full_before) / left_weight) FILTER (WHERE (1.5::DOUBLE * total - full_before) / left_weight * weight < 2 * source_size) AS level FROM o)
-SELECT d.doc_id, d.size, k.source_size, least(2.0::DOUBLE * k.source_size, coalesce(l.level * k.weight, 2.0::DOUBLE * k.source_size)) AS target
-FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source CROSS JOIN l
+f AS (SELECT *, (1.5::DOUBLE * total - full_before) / left_weight AS level FROM o),
+l AS (SELECT (SELECT level FROM f WHERE level * weight < 2 * source_size ORDER BY 2.0 * source_size / weight, source NULLS LAST LIMIT 1) AS level),
+t AS (SELECT k.source, k.source_size, least(2.0::DOUBLE * k.source_size, coalesce(l.level * k.weight, 2.0::DOUBLE * k.source_size)) AS target,
+  list_sum(list_transform(range(1, 13), lambda i: (strpos('0123456789abcdef', substr(md5('17:' || CASE WHEN k.source IS NULL THEN '1' ELSE '0' || k.source END), i::BIGINT, 1)) - 1) * pow(16, 12 - i))) / 281474976710656.0 AS u FROM k CROSS JOIN l),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS e,
+  row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS r FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (least(2, floor(e * r + u) - floor(e * (r - 1) + u)) * size)::BIGINT AS taken FROM p
 """

@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": topk.ORACLE}
+    return {"op1_minhash": minhash.ORACLE, "op4_mixing": mixing.ORACLE, "op6_topk": topk.ORACLE, "op10_substring": substring.ORACLE}

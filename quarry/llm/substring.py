@@ -240,3 +240,14 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_doc"), F.hash("text").alias("_at"))
     joined = rows.join(removed, (F.col("_doc") == F.col("_id")) & (F.col("_at") == F.col("_key")), "left")
     return joined.select(*[F.coalesce("_kept", "row.text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS pos FROM d WHERE len(w) >= 50),
+k AS (SELECT p.doc_id, p.pos, min(p.doc_id) OVER (PARTITION BY md5(array_to_string(d.w[p.pos:p.pos + 49], ' '))) AS low FROM p JOIN d USING (doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS pos FROM k WHERE doc_id > low),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+r AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.pos) AS kept, count(*) AS n FROM x ANTI JOIN g ON x.doc_id = g.doc_id AND x.pos = g.pos GROUP BY x.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(r.n, 0))::BIGINT AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+"""
