@@ -8,13 +8,14 @@ memory follows the longest text, not the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -48,6 +49,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def trim() -> None:
+    """Give memory that is free in this process back to the system, where the C library can: idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of a string column with their bytes and offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -63,6 +73,8 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Iterator[t
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
         yield i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+    if off[-1] - off[0] > limit:
+        trim()
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -11,8 +11,8 @@ Groups of any size are handled without forming their pairs:
 
 1. documents with equal sets form one class, and its smallest doc_id stands
    for it from then on;
-2. each bucket has a pseudo-random leader per round; its members are checked
-   against the leader only, and confirmed links give components;
+2. each bucket has a pseudo-random leader; its members are checked against the
+   leader only, and confirmed links give components;
 3. what may still be missing are links between components that share a
    bucket.  Components are put into the family of the largest component they
    share a bucket with, and the documents outside a family's main component
@@ -213,7 +213,7 @@ def _blocks(family: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return units.groupBy("family", "xb", "yb").applyInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, rounds: int = 1) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the least doc_id linked), kept."""
     spark = docs.sparkSession
     signed = materialize(signatures(docs, width, bands, rows), "signatures")
