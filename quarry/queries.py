@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import fixture
 from .functions import paths as ps
 from .functions import text as tx
-from .operators import blocks, changes, refs, search, stats, symbols
+from .operators import blocks, changes, refs, report, search, stats, symbols
 from .sources import ignore
 
 EXTENSIONS = [".py", ".c", ".md", ".json", ".designer.cs"]
@@ -566,6 +566,45 @@ def file_list_note(spark, sf_dir):
     return files(spark, sf_dir).groupBy("root").agg(refs.file_list(F.collect_list("path")).alias("shown"))
 
 
+@query("WITH l AS (SELECT path, CASE WHEN col % 2 = 0 THEN 'first' ELSE 'second' END AS layer FROM found) SELECT layer, count(*) AS n, count(DISTINCT path) AS files FROM l GROUP BY layer")
+def answer_footer(spark, sf_dir):
+    h = search.hits(files(spark, sf_dir), "the")
+    return report.answer_footer(h.withColumn("layer", F.when(F.col("col") % 2 == 0, "first").otherwise("second")))
+
+
+@query("WITH m AS (SELECT root, count(*) AS files, count(*) FILTER (WHERE size > 20000) AS a, count(*) FILTER (WHERE size > 5000) AS b, 0 AS c FROM files GROUP BY root) SELECT sum(files)::BIGINT AS files, sum(a)::BIGINT AS files_over_cap, sum(b)::BIGINT AS symbol_skipped, sum(c)::BIGINT AS dropped_dirs, count(*) AS roots FROM m")
+def coverage(spark, sf_dir):
+    size = F.col("size")
+    m = files(spark, sf_dir).groupBy("root").agg(
+        F.count("*").alias("files"), F.count_if(size > 20000).alias("files_over_cap"), F.count_if(size > 5000).alias("symbol_skipped"), F.lit(0).alias("dropped_dirs")
+    )
+    return report.coverage(m)
+
+
+@query("SELECT sum(length(line_text))::BIGINT // 4 AS answer_tokens, (SELECT sum(length(text))::BIGINT // 4 FROM files WHERE contains(text, 'the')) AS file_tokens FROM found")
+def token_savings(spark, sf_dir):
+    f = files(spark, sf_dir)
+    return report.savings(search.hits(f, "the"), f)
+
+
+@query("WITH g AS (SELECT user_id, event_id, value / lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS growth FROM events WHERE value > 0) SELECT * FROM g WHERE growth IS NOT NULL")
+def growth(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("value > 0")
+    return report.growth(e, "user_id", "event_id", "value").select("user_id", "event_id", "growth").filter("growth is not null")
+
+
+@query("SELECT user_id, event_id, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) = 1 AS past_knee FROM events")
+def knee(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return report.knee(e, "user_id", "event_id", F.col("event_type") == "error").select("user_id", "event_id", "past_knee")
+
+
+@query("SELECT root, path, line, col FROM found WHERE substr(line_text, col, 3) <> 'the'")
+def misplaced_hits(spark, sf_dir):
+    f = files(spark, sf_dir)
+    return report.misplaced(search.hits(f, "the"), f, "the")
+
+
 # blocks
 
 
@@ -589,6 +628,17 @@ def symbols_extract(spark, sf_dir):
     return symbols.extract(fixture.corpus(spark))
 
 
+@query()
+def symbols_per_extension(spark, sf_dir):
+    return report.symbols_per_extension(symbols.extract(fixture.corpus(spark)))
+
+
+@query()
+def broad_names(spark, sf_dir):
+    f = fixture.corpus(spark)
+    return report.broad_names(symbols.extract(f), symbols.calls(f))
+
+
 @query()
 def definitions(spark, sf_dir):
     return symbols.location(symbols.by_name(symbols.extract(fixture.corpus(spark)), "compute_0"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quarry import fixture, queries
 from quarry.engine import Engine
 from quarry.functions import text as tx
-from quarry.operators import blocks, changes, lexing, refs, search, stats, symbols
+from quarry.operators import blocks, changes, lexing, refs, report, search, stats, symbols
 from quarry.plans.index import Index
 from quarry.sources import ignore, tree
 from quarry.streaming import watch
@@ -153,6 +153,19 @@ def test_stats_small(spark):
     assert (e["p50"], e["p95"], e["largest_path"]) == (50, 95, "a100.py")
 
 
+def test_reports(spark):
+    f = fixture.corpus(spark)
+    s, c = symbols.extract(f), symbols.calls(f)
+    assert {r["ext"]: r["files"] for r in report.symbols_per_extension(s).collect()} == {".py": 8, ".c": 8, ".cs": 9, ".ts": 8}
+    assert report.broad_names(s, c).first()["uses"] == 6
+    assert report.misplaced(search.hits(f, "compute_0"), f, "compute_0").count() == 0
+    p = spark.createDataFrame([("r", "a.csproj", '<Using Include="A.B"/> <using  Static="x" include = "C" />')], "root string, path string, text string")
+    assert sorted(r["name"] for r in report.global_usings(p).collect()) == ["A.B", "C"]
+    assert report.prune_ignored(spark.createDataFrame([("bin/x.py",), ("src/x.py",)], "path string")).count() == 1
+    e = spark.createDataFrame([("changed", True), ("changed", False), ("deleted", True)], "kind string, is_dir boolean")
+    assert report.without_folder_changes(e).count() == 2
+
+
 def test_tree(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "bin").mkdir()
