@@ -282,8 +282,8 @@ def _labels(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that are kept: one document of each group; repeated rows of a kept doc_id once."""
-    gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("quarry__gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("quarry__gone"), "left_anti")
     nulls, others = kept.filter("doc_id is null"), kept.filter("doc_id is not null")
     return others.dropDuplicates(["doc_id"]).unionByName(nulls)
 

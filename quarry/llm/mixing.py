@@ -88,7 +88,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         & (F.col("a.turn") == F.col("b.turn"))
     )
     joined = keyed.alias("a").join(chosen.alias("b"), same)
-    return joined.select("a.row.*", F.explode(F.sequence(F.lit(1), F.col("b.copies"))).alias("_copy")).drop("_copy")
+    return joined.select("a.row.*", F.explode(F.sequence(F.lit(1), F.col("b.copies"))).alias("quarry__copy")).drop("quarry__copy")
 
 
 ORACLE = r"""

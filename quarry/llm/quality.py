@@ -242,6 +242,6 @@ def judge(docs: DataFrame, steps: int = STEPS, least: int = LEAST, cut: float =
 
 def keep(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that pass."""
-    passed = judge(docs, **options).filter("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    passed = judge(docs, **options).filter("kept").select(F.col("doc_id").alias("quarry__id"), F.col("key").alias("quarry__key")).distinct()
     key = F.xxhash64("text", "lang", "source")
-    return docs.join(passed, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_semi")
+    return docs.join(passed, F.col("doc_id").cast("long").eqNullSafe(F.col("quarry__id")) & (key == F.col("quarry__key")), "left_semi")

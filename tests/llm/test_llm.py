@@ -494,6 +494,13 @@ def test_pipeline(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near-duplicates", "secret scan", "source mix", "token ids"]
 
 
+@pytest.mark.parametrize("k", range(4))
+def test_stages_keep_clashing_columns(spark, texts, k):
+    df = frame(spark, texts, extra=True).withColumns({c: F.lit("mine") for c in ("_id", "_key", "_gone", "_copy", "row", "src", "copies", "turn", "place", "spans", "text2")})
+    out = corpus_pipeline.STAGES[k][1](spark, df, "")
+    assert out.columns == df.columns and out.filter("_id <> 'mine' or row <> 'mine' or size <> 1").count() == 0
+
+
 @pytest.mark.parametrize("k", range(4))
 def test_stages_take_odd_rows(spark, k):
     long = " ".join(f"w{i}" for i in range(60))
