@@ -14,6 +14,7 @@ from quarry import fixture, queries
 from quarry.engine import Engine
 from quarry.functions import text as tx
 from quarry.operators import blocks, changes, lexing, refs, report, search, stats, symbols
+from quarry.plans import storage
 from quarry.plans.index import Index
 from quarry.sources import ignore, tree
 from quarry.streaming import watch
@@ -210,6 +211,14 @@ def test_engine_and_incremental_equals_rebuild(spark, tmp_path):
     assert engine.links("add", "/x/other").count() == 2 and engine.links("focus", "other").filter("focused").count() == 1
 
 
+def test_ranks_and_sweep(spark):
+    df = spark.createDataFrame([(i * 7 % 100, i % 3) for i in range(100)], "a long, b long")
+    rows = storage.ranked(df, ["a"]).collect()
+    assert sorted((r["a"], r["rank"]) for r in rows) == [(i, i) for i in range(100)]
+    assert storage.ranked(df.limit(0), ["a"]).count() == 0
+    storage.sweep(spark)
+
+
 def test_pointer_recovers(spark, tmp_path):
     index = Index(spark, str(tmp_path / "i"))
     index.build(fixture.corpus(spark, 2))
