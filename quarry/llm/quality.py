@@ -13,8 +13,11 @@ Documents farther than a cut of the Mahalanobis distance are rejected.
 The covariance is regularised by a floor on each rate's deviation, so that
 rates that are constant in clean text (symbols, repeated lines) don't reject
 one email address or a repeated line.  Groups of fewer than ``least`` rows
-are judged together per language; if those are still too few, nothing is
-rejected there beyond the base rules.
+that pass the base rules are judged by an estimate over all such rows of their
+language, large groups included; where the language has too few as well, by
+one over all such rows of the table, however few, so every row has a distance
+unless the whole table fails.  Below ``LEAST`` rows the floor holds in every
+direction, as few rows may span less than all of them.
 
 Defined results: null or empty texts have no words and fail the base rules;
 null languages and sources are groups of their own; repeated rows count each
@@ -164,6 +167,10 @@ def _distance() -> Column:
 def _params_row(g: str, n: int, mean: np.ndarray, cov: np.ndarray) -> list:
     floor = np.square(np.array(FLOORS) * UNIT)
     cov = cov + np.diag(np.maximum(floor - np.diag(cov), 0))
+    if n < LEAST:
+        unit = np.sqrt(np.outer(floor, floor))
+        size, axes = np.linalg.eigh(cov / unit)
+        cov = (axes * np.maximum(size, 1.0)) @ axes.T * unit
     p = np.linalg.inv(cov)
     return [g, n, *mean.tolist(), *[float(p[i, j]) * (1 if i == j else 2) for i, j in PAIRS]]
 
@@ -216,19 +223,25 @@ def judge(docs: DataFrame, steps: int = STEPS, least: int = LEAST, cut: float =
     """Per row of docs: doc_id, key, the counts, base_failed, distance and kept."""
     spark = docs.sparkSession
     stats = materialize(statistics(docs), "statistics")
-    group = F.concat_ws("\x1f", F.coalesce("lang", F.lit("\x1e")), F.coalesce("source", F.lit("\x1e")))
-    lang = F.concat_ws("\x1f", F.coalesce("lang", F.lit("\x1e")))
-    sizes = stats.withColumn("g0", group).filter(~base_failed()).groupBy("g0", lang.alias("l")).agg(F.count("*").alias("rows"))
-    sizes = materialize(sizes.select("g0", F.when(F.col("rows") >= least, F.col("g0")).otherwise(F.col("l")).alias("g")), "groups")
+    group, lang, every = F.to_json(F.array("lang", "source")), F.to_json(F.array("lang")), F.lit("[]")
+    sizes = stats.withColumn("failed", base_failed()).groupBy(group.alias("g0"), lang.alias("l")).agg(F.sum((~F.col("failed")).cast("long")).alias("rows"))
+    of_lang = F.sum("rows").over(Window.partitionBy("l"))
+    sizes = sizes.withColumn("g", F.when(F.col("rows") >= least, F.col("g0")).when(of_lang >= least, F.col("l")).otherwise(every))
+    sizes = materialize(sizes, "groups")
     groups = sizes.count()
-    vectors = stats.withColumn("g0", group).join(broadcast_if_small(sizes, groups), "g0", "left").withColumn("failed", base_failed())
-    vectors = materialize(vectors.select("doc_id", "key", "g", "failed", *COUNTS[:5], *rates()), "vectors")
-    sound = vectors.filter("not failed and g is not null")
+    # a pool is fitted on all of its rows, those of groups with an estimate of their own too
+    pools = sizes.groupBy("l").agg(F.max((F.col("g") == F.col("l")).cast("int")).alias("of_lang"))
+    of_all = F.lit(bool(sizes.filter(F.col("g") == every).head(1)))
+    fits = F.array_compact(F.array(F.when(F.col("g") == F.col("g0"), F.col("g0")), F.when(F.col("of_lang") == 1, F.col("l")), F.when(of_all, every)))
+    sizes = materialize(sizes.join(pools, "l").select("g0", "g", fits.alias("fits")), "fits")
+    fitted = sizes.select(F.explode("fits").alias("g")).distinct().count()
+    vectors = stats.withColumn("g0", group).join(broadcast_if_small(sizes, groups), "g0").withColumn("failed", base_failed())
+    vectors = materialize(vectors.select("doc_id", "key", "g", "fits", "failed", *COUNTS[:5], *rates()), "vectors")
+    sound = vectors.filter("not failed").select(F.explode("fits").alias("g"), *[f"x{i}" for i in range(D)])
     params = materialize(_start(sound), "params")
     for _ in range(steps):
-        params = materialize(_step(sound, params, groups), "params")
-    enough = params.filter(F.col("rows") >= least)
-    out = vectors.join(broadcast_if_small(enough, groups), "g", "left").withColumn("distance", _distance())
+        params = materialize(_step(sound, params, fitted), "params")
+    out = vectors.join(broadcast_if_small(params, fitted), "g", "left").withColumn("distance", _distance())
     delete(spark, stats)
     return out.select(
         "doc_id",
@@ -236,7 +249,7 @@ def judge(docs: DataFrame, steps: int = STEPS, least: int = LEAST, cut: float =
         *COUNTS[:5],
         F.col("failed").alias("base_failed"),
         "distance",
-        (~F.col("failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))).alias("kept"),
+        (~F.col("failed") & F.coalesce(F.col("distance") <= cut, F.lit(False))).alias("kept"),
     )
 
 

@@ -377,6 +377,28 @@ def test_quality_finds_outliers(spark):
     assert quality.judge(df.limit(0)).count() == 0
 
 
+def test_quality_judges_small_groups(spark):
+    rnd = random.Random(8)
+    vocab = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(2000)]
+
+    def rows(start, n, lang, source):
+        for i in range(start, start + n):
+            w = [rnd.choice(vocab) for _ in range(rnd.randint(60, 200))]
+            yield i, " ".join(x + "%%%" for x in w) if i % 10 == 0 else " ".join(w), lang, source, 0
+
+    large = [*rows(0, 600, "en", "A")]
+    for small in ([*rows(600, 50, "en", "B")], [*rows(600, 50, "fr", "B"), *rows(650, 9, None, None)]):
+        got = quality.judge(spark.createDataFrame(large + small, SCHEMA)).collect()
+        assert {r["doc_id"] for r in got if r["kept"]} == {i for i in range(600 + len(small)) if i % 10}
+        assert all(r["distance"] is not None for r in got)
+    alone = quality.judge(spark.createDataFrame(small + [(999, "short", "xx", "y", 0)], SCHEMA)).collect()
+    assert {r["doc_id"] for r in alone if r["kept"]} == {i for i in range(600, 659) if i % 10}
+    assert all(r["distance"] is not None for r in alone)
+    # a few rows that span less than all directions
+    two = [(0, "abc defg " * 9 + " ".join(vocab[:70]), "en", "A", 0), (1, " ".join(f"X{x.upper()}!!" for x in vocab[:80]), "en", "A", 0)]
+    assert all(r["kept"] and r["distance"] < 5 for r in quality.judge(spark.createDataFrame(two, SCHEMA)).collect())
+
+
 def test_quality_keeps_labelled_good_documents(spark, sf):
     big = sf.replace("sf0.001", "sf0.1")
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
