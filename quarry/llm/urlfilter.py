@@ -15,8 +15,7 @@ judge, and the mined rules decide the other pages.
 
 All of it is DataFrame operations and Spark's own FP-growth.  A common host
 repeats the same tokens, so equal token sets are counted before rules are
-matched, and tokens of more than half of the labelled urls are left out, as
-they tell nothing.
+matched.  Tokens may stand in any share of the labelled urls, in all of them too.
 
 Defined results: null urls and urls without ``://`` have an empty host and
 path, no tokens and no rule, and are allowed; repeated rows count each; without
@@ -88,7 +87,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     if not n:
         return spark.createDataFrame([], schema)
     single = labelled.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    single = single.filter((F.col("n") >= support * n) & (F.col("n") <= 0.5 * n))
+    single = single.filter(F.col("n") >= support * n)
     frequent = [r["t"] for r in single.select("t").orderBy(F.desc("n"), "t").collect()]  # at most mean tokens / support
     if not frequent:
         return spark.createDataFrame([], schema)

@@ -319,6 +319,31 @@ def test_mined_rules_equal_brute_force(spark):
         assert got.get(t) == (max(fits)[3] if fits else None)
 
 
+def brute_rules(base, support, confidence):
+    import itertools
+
+    sup, lab = collections.Counter(), collections.Counter()
+    for t, l in base:
+        for k in range(1, len(t) + 1):
+            for c in itertools.combinations(t, k):
+                sup[c] += 1
+                lab[c, l] += 1
+    raw = {(c, l): v / sup[c] for (c, l), v in lab.items() if v >= support * len(base) and v / sup[c] >= confidence}
+    return {(c, l): round(v, 12) for (c, l), v in raw.items() if not any(set(d) < set(c) and m == l and w >= v for (d, m), w in raw.items())}
+
+
+def test_mined_rules_of_tokens_in_most_urls(spark):
+    rnd = random.Random(6)
+    base = []
+    for _ in range(500):
+        t = sorted({"u", *rnd.choices(["h", "a", "b"], [8, 1, 1], k=2)})
+        base.append((t, "allow" if "h" in t and rnd.random() < 0.97 else "block"))
+    want = brute_rules(base, 0.02, 0.8)
+    assert sum("h" in t for t, _ in base) > 400 and (("h",), "allow") in want and (("u",), "allow") in want
+    rules = urlfilter.mine(spark.createDataFrame(base, "tokens array<string>, label string"), support=0.02, confidence=0.8).collect()
+    assert {(tuple(r["items"]), r["label"]): round(r["confidence"], 12) for r in rules} == want
+
+
 # 6
 
 
