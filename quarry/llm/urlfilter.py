@@ -79,8 +79,8 @@ def tokens(url: Column, h: Column, p: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.coalesce(every, F.array().cast("array<string>")), lambda x: F.length(x) > 2)))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int = LONGEST) -> DataFrame:
-    """Rules (items, label, confidence, rows, key) from labelled(tokens, label)."""
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int | None = LONGEST) -> DataFrame:
+    """Rules (items, label, confidence, rows, key) from labelled(tokens, label), of at most longest tokens, or of any number if it is None."""
     spark = labelled.sparkSession
     schema = "items array<string>, label string, confidence double, rows long, key string"
     n = labelled.count()
@@ -94,7 +94,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     kept = F.array_intersect("tokens", F.lit(frequent))
     baskets = materialize(labelled.select(F.concat(kept, F.array(F.concat(F.lit("="), "label"))).alias("items")), "baskets")
     sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=1.0).fit(baskets).freqItemsets
-    sets = materialize(sets.select(F.array_sort("items").alias("items"), "freq").filter(F.size("items") <= longest + 1), "itemsets")
+    sets = materialize(sets.select(F.array_sort("items").alias("items"), "freq").filter(F.lit(True) if longest is None else F.size("items") <= longest + 1), "itemsets")
     parts = sets.select(
         F.filter("items", lambda x: ~x.startswith("=")).alias("items"), F.get(F.filter("items", lambda x: x.startswith("=")), F.lit(0)).alias("label"), "freq"
     )
@@ -125,13 +125,13 @@ def match(sets: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, **options) -> DataFrame:
-    """Per row of pages: page_id, host, path, rule, verdict."""
+    """Per row of pages: page_id, host, path, rule, verdict; rules of any number of tokens."""
     url = F.col("url")
     rows = pages.select("page_id", host(url).alias("host"), path(url).alias("path"), "url")
     rows = rows.withColumn("rule", fixed_rule(F.col("host"), F.col("path"), rules)).withColumn("tokens", tokens(url, F.col("host"), F.col("path")))
     rows = materialize(rows.drop("url"), "urls")
     labelled = rows.filter("rule is not null").select("tokens", fixed_verdict(F.col("rule"), rules).alias("label"))
-    mined = mine(labelled, **options)
+    mined = mine(labelled, **{"longest": None} | options)
     n_rules = mined.count()
     sets = rows.filter("rule is null").select("tokens").distinct()
     verdicts = materialize(match(sets, mined, n_rules), "verdicts")

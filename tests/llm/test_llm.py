@@ -344,6 +344,21 @@ def test_mined_rules_of_tokens_in_most_urls(spark):
     assert {(tuple(r["items"]), r["label"]): round(r["confidence"], 12) for r in rules} == want
 
 
+def test_mined_rules_of_any_length(spark):
+    rnd = random.Random(7)
+    base = [[x for x in "abcdef" if rnd.random() < 0.7] for _ in range(600)]
+    base = [(t, "block" if set("abcd") <= set(t) and rnd.random() < 0.98 else "allow") for t in base]
+    want = brute_rules(base, 0.02, 0.8)
+    assert (("a", "b", "c", "d"), "block") in want
+    df = spark.createDataFrame(base, "tokens array<string>, label string")
+    rules = urlfilter.mine(df, support=0.02, confidence=0.8, longest=None).collect()
+    assert {(tuple(r["items"]), r["label"]): round(r["confidence"], 12) for r in rules} == want
+    urls = [f"http://{'b' if set('abcd') <= set(t) else 'a'}.test/" + "/".join(f"w{x}" for x in t) for t, _ in base] + ["http://c.other/wa/wb/wc/wd"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in urlfilter.judge(pages, rules=(("a.test/", "allow"), ("b.test/", "block"))).collect()}
+    assert got[600]["rule"] is None and got[600]["verdict"] == "block"
+
+
 # 6
 
 
