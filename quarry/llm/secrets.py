@@ -303,9 +303,9 @@ def tagged_spans(data: np.ndarray, offsets: np.ndarray, w: np.ndarray, trans: np
     e = w[tok.features[0]].astype(np.float32)
     for f in tok.features[1:]:
         e += w[f]
-    # making one token outside changes two transitions, and an inside token after it becomes a beginning
+    # making one token outside changes two transitions; an inside token after it becomes a beginning, which changes a third
     free = trans[trans > -10]
-    most = 2 * float(free.max() - free.min())
+    most = 3 * float(free.max() - free.min()) + 1e-3
     swap = e[:, I] - e[:, B]
     after = np.zeros(len(e), np.float32)
     after[:-1] = np.maximum(swap[1:], 0)

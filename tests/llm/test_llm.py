@@ -495,6 +495,36 @@ def test_viterbi_is_exact():
         assert secrets.viterbi(e, trans, True, True).tolist() == list(best)
 
 
+def test_tagged_spans_equal_viterbi_over_all_tokens():
+    B, I, O = secrets.B, secrets.I, secrets.O
+
+    def full(data, off, w, trans):
+        tok = secrets.Tokens(data, off)
+        e = np.sum([w[f] for f in tok.features], axis=0)
+        out = []
+        for d in np.unique(tok.doc):
+            at = np.flatnonzero(tok.doc == d)
+            tags = secrets.viterbi(e[at], trans, True, True).tolist()
+            for i, y in enumerate(tags):
+                if y == B:
+                    j = next((j for j in range(i + 1, len(tags)) if tags[j] != I), len(tags))
+                    out.append((int(tok.start[at[i]]), int(tok.end[at[j - 1]]), 3))
+        return out
+
+    _, _, data, off = next(iter(kernel.slices(pa.array(["aaa bbb ccc"]), 1 << 30)))
+    tok = secrets.Tokens(data, off)
+    own = [next(int(f[k]) for f in tok.features if all(f[k] not in np.delete(g, k) for g in tok.features)) for k in range(3)]
+    # the first token is outside by 2.5 times the range of transitions; all three that it takes part in favour a secret
+    w, trans = np.zeros((secrets.DIM, 3), np.float32), np.zeros((4, 3), np.float32)
+    trans[3, B] = trans[B, I] = trans[I, O] = 1
+    trans[O, I] = trans[3, I] = -20
+    w[own[0], O], w[own[1], O], w[own[2], O] = 2.5, -20, 20
+    assert full(data, off, w, trans) == secrets.tagged_spans(data, off, w, trans) == [(0, 7, 3)]
+    w, trans = secrets.train()
+    for _, _, data, off in kernel.slices(pa.array([t for t, _ in secrets._sentences(np.random.default_rng(7), 100)]), 1 << 30):
+        assert full(data, off, w, trans) == secrets.tagged_spans(data, off, w, trans)
+
+
 def test_redaction(spark):
     df = frame(spark, [None, "", "set token = 'abcdefghij' ok", "plain"])
     rows = {r["doc_id"]: r for r in secrets.redact(df).collect()}
