@@ -70,8 +70,10 @@ def blocks(files: DataFrame, size: int = BLOCK_CHARS, seam: int = SEAM) -> DataF
     return files.select("root", "path", "text").mapInPandas(run, BLOCKS)
 
 
-def pruned(table: DataFrame, query: str, case_sensitive: bool = True) -> DataFrame:
-    """Blocks whose filter may hold a variant of every trigram of the query."""
+def pruned(table: DataFrame, query: str, case_sensitive: bool = True, seam: int = SEAM) -> DataFrame:
+    """Blocks whose filter may hold a variant of every trigram of the query; seam is the one the table was built with."""
+    if len(query) > seam + 1:
+        raise ValueError(f"a query of {len(query)} characters may cross a cut unseen: build the blocks with a seam of {len(query) - 1} or more")
     groups = [np.array(g, np.int64) for g in tx.query_groups(query, case_sensitive)]
 
     @F.pandas_udf(T.BooleanType())
@@ -81,19 +83,19 @@ def pruned(table: DataFrame, query: str, case_sensitive: bool = True) -> DataFra
     return table.filter(fits(F.col("bloom")))
 
 
-def block_hits(table: DataFrame, query: str) -> DataFrame:
-    """(root, path, start): the offsets at which matches start, found block by block."""
+def block_hits(table: DataFrame, query: str, seam: int = SEAM) -> DataFrame:
+    """(root, path, start): the offsets at which matches start, found block by block; seam is the one the table was built with."""
     size = len(query)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for root, path, start, text, seam in zip(b["root"], b["path"], b["start"], b["text"], b["seam"]):
-                whole, at = text + seam[: size - 1], 0
+            for root, path, start, text, tail in zip(b["root"], b["path"], b["start"], b["text"], b["seam"]):
+                whole, at = text + tail[: size - 1], 0
                 while (at := whole.find(query, at)) >= 0:
                     rows.append((root, path, start + at))
                     at += 1
             if rows:
                 yield pd.DataFrame(rows, columns=["root", "path", "start"])
 
-    return pruned(table, query).select("root", "path", "start", "text", "seam").mapInPandas(run, "root string, path string, start long")
+    return pruned(table, query, seam=seam).select("root", "path", "start", "text", "seam").mapInPandas(run, "root string, path string, start long")

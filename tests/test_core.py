@@ -84,6 +84,17 @@ def test_blocks_find_matches_over_cuts(spark):
     assert blocks.pruned(b, "needle").count() < b.count()
 
 
+def test_blocks_refuse_queries_beyond_the_seam(spark):
+    query = "n" * 40
+    df = spark.createDataFrame([("r", "p", "x" * 60 + query + "x" * 60)], "root string, path string, text string")
+    assert blocks.block_hits(blocks.blocks(df, 64, 39), query, 39).first()["start"] == 60
+    for find in (blocks.block_hits, blocks.pruned):
+        with pytest.raises(ValueError):
+            find(blocks.blocks(df, 64, 32), query, seam=32)
+        with pytest.raises(ValueError):
+            find(blocks.blocks(df, 64), "n" * (blocks.SEAM + 2))
+
+
 def test_ignore_rules():
     case = lambda text, path, folder=False: ignore.ignored({"": ignore.parse(text)}, path, folder)
     for text, path, want in [
