@@ -26,8 +26,8 @@ already in one component.
 Defined results: null or empty texts have an empty set and link with nothing;
 a text of fewer words than a shingle has one shingle of all its words; rows
 with a null doc_id link with nothing (their component is null) and are kept;
-rows of one doc_id count as one document; texts are hashed whole; other
-columns are left alone.
+rows of one doc_id count as one document, but in ``dedup`` those of different
+texts don't; texts are hashed whole; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, materialize
+from .common import delete, materialize, ranked
 from .graph import components
 from .kernel import LOWER, Words, mix, run_hash, slices
 
@@ -281,11 +281,26 @@ def _labels(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept: one document of each group; repeated rows of a kept doc_id once."""
-    gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("quarry__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("quarry__gone"), "left_anti")
-    nulls, others = kept.filter("doc_id is null"), kept.filter("doc_id is not null")
-    return others.dropDuplicates(["doc_id"]).unionByName(nulls)
+    """The rows of docs that are kept: one document of each group; repeated rows of a kept doc_id and text once.
+
+    Different texts under one doc_id are documents of their own here; where there are any, ranks in order of doc_id stand for the ids.
+    """
+    names, id_ = docs.columns, F.col("doc_id").cast("long")
+    docs = docs.withColumn("quarry__text", F.xxhash64("text"))
+    nulls, others = docs.filter("doc_id is null"), docs.filter("doc_id is not null")
+    differ = F.min("quarry__text") != F.max("quarry__text")
+    if others.groupBy(id_.alias("quarry__gone")).agg(differ.alias("differ")).filter("differ").head(1):
+        own = others.select(id_.alias("quarry__gone"), F.col("quarry__text").alias("quarry__hash")).distinct()
+        own = materialize(ranked(own, ["quarry__gone", "quarry__hash"], "quarry__rank"), "ids")
+        same = (id_ == F.col("quarry__gone")) & (F.col("quarry__text") == F.col("quarry__hash"))
+        rows = materialize(others.join(own, same).select(F.col("quarry__rank").alias("doc_id"), "text"), "texts")
+        gone = near_duplicates(rows, **options).filter("not kept").select(F.col("doc_id").alias("quarry__rank"))
+        gone = own.join(gone, "quarry__rank", "left_semi")
+    else:
+        same = id_ == F.col("quarry__gone")
+        gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("quarry__gone")).distinct()
+    kept = others.join(gone, same, "left_anti").dropDuplicates(["doc_id", "quarry__text"])
+    return kept.select(names).unionByName(nulls.select(names))
 
 
 #: For width 2 and unique doc ids.

@@ -132,6 +132,16 @@ def test_near_duplicates_edges(spark):
 # 2, 8
 
 
+def test_dedup_keeps_different_texts_of_one_id(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    texts = [(3, one), (5, one + " x"), (5, two), (5, two), (6, three), (6, ""), (6, None), (7, two), (None, one), (None, one)]
+    df = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(texts)], SCHEMA)
+    kept = minhash.dedup(df)
+    assert kept.columns == df.columns
+    want = [(3, one), (5, two), (6, three), (6, ""), (6, None), (None, one), (None, one)]
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter(want)
+
+
 def tokenizer(name):
     import public_tokenizers
     from tokenizers import Tokenizer
