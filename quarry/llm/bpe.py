@@ -9,10 +9,14 @@ bytes and every adjacent pair stays apart when its two tokens are merged as
 one word; these checks run over all pairs of a batch as one set of distinct
 keys.  Only words that fail are merged exactly.
 
+Chunks that were encoded before are found by a hash and compared byte by byte,
+so no collision changes ids.
+
 Defined results: a null text is encoded as an empty one (no ids); added tokens
 in a text get their own ids, as the tokenizers library does by default; texts
-of any length are encoded whole; rows are independent, so ties, repeats and
-other columns change nothing.
+of any length are encoded whole; a null doc_id stays null; rows are
+independent, so ties, repeats and other columns change nothing; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,9 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernel import SPACE, ragged, slices, span_hash
+from .kernel import SPACE, SpanCache, ragged, slices
 
-KEEP = 1_500_000  # chunks that a task remembers before it starts afresh
+PAIRS = 2_000_000  # pairs that a task remembers before it starts afresh
 # chunks of letters and signs whose split needs no general Unicode classes
 _LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
 _PLAIN = re.compile(f" ?(?:{_LETTERS}|[0-9]|[!-&(-/:;=-@\\[-`{{-~])+")
@@ -74,16 +78,10 @@ class Bpe:
         self.piece_len = np.fromiter(map(len, pieces), np.int64, size)
         self.piece_off = np.concatenate([[0], np.cumsum(self.piece_len)])
         self.pieces = np.frombuffer(b"".join(pieces), np.uint8)
-        self.stable: dict[int, bool] = {}
-        self.apart: dict[int, bool] = {}
+        self.stable = np.full(size, -1, np.int8)
+        self.pair, self.apart = np.zeros(0, np.int64), np.zeros(0, bool)
         self.failed = self.proposed = 0
-        self.forget()
-
-    def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.known_at = np.zeros(0, np.int64)
-        self.ids_off = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.chunks = SpanCache()
 
     # one word
 
@@ -129,32 +127,36 @@ class Bpe:
         length = np.fromiter(map(len, proposals), np.int64, len(words))
         flat = np.fromiter((t for p in proposals for t in p), np.int64, int(length.sum()))
         word = np.repeat(np.arange(len(words)), length)
-        singles, where = np.unique(flat, return_inverse=True)
-        stable, merge, text = self.stable, self.merge, self.text
-        for t in singles.tolist():
-            if t not in stable:
-                stable[t] = merge(text[t]) == [t]
-        good = np.fromiter((stable[t] for t in singles.tolist()), bool, len(singles))[where]
+        singles, merge, text = np.unique(flat), self.merge, self.text
+        for t in singles[self.stable[singles] < 0].tolist():
+            self.stable[t] = merge(text[t]) == [t]
         bad = np.zeros(len(words), bool)
-        bad[word[~good]] = True
+        bad[word[self.stable[flat] == 0]] = True
         near = np.flatnonzero(word[1:] == word[:-1])
-        keys, where = np.unique(flat[near] << 32 | flat[near + 1], return_inverse=True)
-        apart = self.apart
-        for k in keys.tolist():
-            if k not in apart:
-                a, b = k >> 32, k & 0xFFFFFFFF
-                apart[k] = merge(text[a] + text[b]) == [a, b]
-        fine = np.fromiter((apart[k] for k in keys.tolist()), bool, len(keys))[where]
+        fine = self._apart(flat[near] << 32 | flat[near + 1])
         bad[word[near[~fine]]] = True
         again = np.flatnonzero(bad).tolist()
         self.proposed += len(words)
         self.failed += len(again)
         for i in again:
             proposals[i] = merge(words[i])
-        if len(apart) > 2_000_000:
-            apart.clear()
         return proposals
 
+    def _apart(self, pairs: np.ndarray) -> np.ndarray:
+        """Which pairs of tokens the merges leave as they are when both stand in one word."""
+        if len(self.pair) > PAIRS:
+            self.pair, self.apart = np.zeros(0, np.int64), np.zeros(0, bool)
+        keys, where = np.unique(pairs, return_inverse=True)
+        at = np.searchsorted(self.pair, keys)
+        fresh = np.ones(len(keys), bool)
+        if len(self.pair):
+            fresh = self.pair[np.minimum(at, len(self.pair) - 1)] != keys
+        ends = [(k >> 32, k & 0xFFFFFFFF) for k in keys[fresh].tolist()]
+        new = np.fromiter((self.merge(self.text[a] + self.text[b]) == [a, b] for a, b in ends), bool, len(ends))
+        self.apart = np.insert(self.apart, at[fresh], new)
+        self.pair = np.insert(self.pair, at[fresh], keys[fresh])
+        return self.apart[np.searchsorted(self.pair, keys)][where]
+
     def _chunk_words(self, chunk: bytes) -> list[str | int]:
         """The pre-tokens of a chunk; added tokens as their ids."""
         s, out, at = chunk.decode("utf-8", "replace"), [], 0
@@ -175,28 +177,9 @@ class Bpe:
     def encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice and each document's offset among them."""
         start = chunk_starts(data, offsets)
-        end = np.append(start[1:], len(data))
-        keys, first, where = np.unique(span_hash(data, start, end), return_index=True, return_inverse=True)
-        if len(self.known) > KEEP:
-            self.forget()
-        at = np.searchsorted(self.known, keys)
-        fresh = np.ones(len(keys), bool)
-        if len(self.known):
-            fresh = self.known[np.minimum(at, len(self.known) - 1)] != keys
-        if fresh.any():
-            pick = first[fresh]
-            raw = data.tobytes()
-            new = self.encode_chunks([raw[a:b] for a, b in zip(start[pick].tolist(), end[pick].tolist())])
-            lengths = np.fromiter(map(len, new), np.int64, len(new))
-            self.known_at = np.insert(self.known_at, at[fresh], len(self.ids_off) - 1 + np.arange(len(new)))
-            self.known = np.insert(self.known, at[fresh], keys[fresh])
-            self.ids_off = np.concatenate([self.ids_off, self.ids_off[-1] + np.cumsum(lengths)])
-            self.ids = np.concatenate([self.ids, np.fromiter((t for x in new for t in x), np.uint32, int(lengths.sum()))])
-        entry = self.known_at[np.searchsorted(self.known, keys)][where]
-        begin = self.ids_off[entry]
-        length = self.ids_off[entry + 1] - begin
+        flat, length = self.chunks.lists(data, start, np.append(start[1:], len(data)), self.encode_chunks)
         upto = np.concatenate([[0], np.cumsum(length)])
-        return self.ids[ragged(begin, length)], upto[np.searchsorted(start, offsets)]
+        return flat, upto[np.searchsorted(start, offsets)]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of many id lists and each list's offset among them."""

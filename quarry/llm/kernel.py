@@ -2,14 +2,15 @@
 
 A slice of a batch is viewed as one byte array with document offsets; words,
 lines and n-grams become index arrays, and equality becomes 64-bit hashes.
-Slices hold a few MB of text (a single longer text is a slice of its own), so
-memory follows the longest text, not the batch.
+Slices hold about a MB of text (a single longer text is a slice of its own), so
+memory follows the longest text, not the batch; what a batch took goes back to
+the system after it.
 """
 
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,24 +21,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_rng = np.random.Generator(np.random.PCG64(20240117))
-_BYTES = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
-_P = np.uint64(0x9E3779B97F4A7C15)
-_PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept, and grown when needed."""
-    got = _powers.get(int(base))
-    if got is None or len(got) < n:
-        size = max(n, 1 << 16)
-        got = np.full(size, base, np.uint64)
-        got[0] = 1
-        np.cumprod(got, out=got)
-        if size <= 4 * SLICE:
-            _powers[int(base)] = got
-    return got[:n]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first k bytes of a lane
+CACHE_BYTES, CACHE_SPAN = 32 << 20, 256
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -73,27 +59,127 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Iterator[t
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
         yield i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
-    if off[-1] - off[0] > limit:
-        trim()
+    del column, raw, off, offsets, data
+    trim()
+
+
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one little-endian number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; equal spans have equal hashes wherever they stand."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * powers(_P, len(data)), out=total[1:])
-    h = (total[end] - total[start]) * powers(_PINV, len(data) + 1)[start]
-    return mix(h + (end - start).astype(np.uint64))
+    """A 64-bit hash of each byte span; equal spans have equal hashes wherever they stand.
+
+    Every lane of eight bytes is mixed with its number in the span, and the
+    mixed lanes are summed: unlike a polynomial's, the sums of repetitive
+    spans have no common factors.
+    """
+    lanes, size = _lanes(data), end - start
+    total = mix(lanes[start] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * _ODD
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        count = (size[long] - 1) // 8
+        first = np.concatenate([[0], np.cumsum(count)])
+        number = np.arange(1, first[-1] + 1) - np.repeat(first[:-1], count)
+        at = np.repeat(start[long], count) + 8 * number
+        left = np.repeat(end[long], count) - at
+        mixed = mix((lanes[at] & _FIRST[np.minimum(left, 8)]) + mix(number.astype(np.uint64) * _ODD))
+        total[long] += np.add.reduceat(mixed, first[:-1])
+    return mix(total)
 
 
 def run_hash(values: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each run of width neighbouring values."""
+    """A 64-bit hash of each run of width neighbouring values, mixed pair by pair over doubling runs."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    v = values if not seed else mix(values + np.uint64(seed))
-    total = np.zeros(len(v) + 1, np.uint64)
-    np.cumsum(v * powers(_P, len(v)), out=total[1:])
-    return mix((total[width:] - total[: n]) * powers(_PINV, n) + np.uint64(seed))
+    out, level, size, at = None, values if not seed else mix(values + np.uint64(seed)), 1, 0
+    while True:
+        if width // size & 1:
+            part = level[at : at + n]
+            out = part if out is None else mix(out * _ODD + part)
+            at += size
+        if 2 * size > width:
+            return mix(out + np.uint64((seed + width * int(_ODD)) & 0xFFFFFFFFFFFFFFFF))
+        level = mix(level[:-size] * _ODD + level[size:])
+        size *= 2
+
+
+def _equal(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which spans of a hold the same bytes as those of b, all of size 1 or more."""
+    if not len(size):
+        return np.zeros(0, bool)
+    same = a[ragged(a_start, size)] == b[ragged(b_start, size)]
+    return np.logical_and.reduceat(same, np.concatenate([[0], np.cumsum(size)[:-1]]))
+
+
+class SpanCache:
+    """Id lists of byte spans that were made before.
+
+    Spans of up to seven bytes are keys as they are; longer ones are found by
+    their hash and compared byte by byte, so a collision costs time only.
+    Spans of more than CACHE_SPAN bytes aren't kept.  At CACHE_BYTES the cache
+    starts afresh.
+    """
+
+    def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        self.key, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.ids_at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.raw, self.raw_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.key, self.entry, self.ids, self.ids_at, self.raw, self.raw_at))
+
+    def _add(self, spans: list[bytes], make: Callable[[list[bytes]], list[list[int]]]) -> np.ndarray:
+        """The numbers of new entries."""
+        first, lists = len(self.ids_at) - 1, make(spans)
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.ids = np.concatenate([self.ids, np.fromiter((t for x in lists for t in x), np.uint32, int(n.sum()))])
+        self.ids_at = np.concatenate([self.ids_at, self.ids_at[-1] + np.cumsum(n)])
+        kept = [s if 7 < len(s) <= CACHE_SPAN else b"" for s in spans]
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(kept), np.uint8)])
+        self.raw_at = np.concatenate([self.raw_at, self.raw_at[-1] + np.cumsum(np.fromiter(map(len, kept), np.int64, len(kept)))])
+        return first + np.arange(len(spans))
+
+    def lists(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, make: Callable[[list[bytes]], list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the spans in turn, and how many each has; make gives the ids of spans not seen before."""
+        if self.nbytes() > CACHE_BYTES:
+            self.forget()
+        size = end - start
+        at, raw = np.zeros(len(size), np.int64), data.tobytes()
+        bytes_of = lambda rows: [raw[a:b] for a, b in zip(start[rows].tolist(), end[rows].tolist())]
+        big = np.flatnonzero(size > CACHE_SPAN)
+        if len(big):
+            at[big] = self._add(bytes_of(big), make)
+        small = np.flatnonzero(size <= CACHE_SPAN)
+        s, n = start[small], size[small]
+        key = np.where(n > 7, span_hash(data, s, s + n) | np.uint64(1 << 63), (_lanes(data)[s] & _FIRST[np.minimum(n, 7)]) | n.astype(np.uint64) << np.uint64(56))
+        keys, first, where = np.unique(key, return_index=True, return_inverse=True)
+        spot = np.searchsorted(self.key, keys)
+        fresh = np.ones(len(keys), bool)
+        if len(self.key):
+            fresh = self.key[np.minimum(spot, len(self.key) - 1)] != keys
+        if fresh.any():
+            added = self._add(bytes_of(small[first[fresh]]), make)
+            self.entry = np.insert(self.entry, spot[fresh], added)
+            self.key = np.insert(self.key, spot[fresh], keys[fresh])
+        own = self.entry[np.searchsorted(self.key, keys)][where]
+        long = np.flatnonzero(n > 7)
+        alike = self.raw_at[own[long] + 1] - self.raw_at[own[long]] == n[long]
+        alike[alike] = _equal(data, s[long[alike]], self.raw, self.raw_at[own[long[alike]]], n[long[alike]])
+        if not alike.all():
+            other = long[~alike]
+            own[other] = self._add(bytes_of(small[other]), make)
+        at[small] = own
+        begin = self.ids_at[at]
+        count = self.ids_at[at + 1] - begin
+        return self.ids[ragged(begin, count)], count
 
 
 class Words:

@@ -29,10 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, scratch_path
-from .kernel import Words, ragged, slices
+from .kernel import SpanCache, Words, slices
 
 NO_ID = -(1 << 63)
-KEEP = 1_500_000
 
 
 def default_path() -> str:
@@ -56,43 +55,22 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.forget()
+        self.words = SpanCache()
 
-    def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.known_at = np.zeros(0, np.int64)
-        self.off = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+    def _fresh(self, words: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the documents of a slice, end_id after each, and each document's count."""
         words = Words(data, offsets)
-        keys, first, where = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.known) > KEEP:
-            self.forget()
-        at = np.searchsorted(self.known, keys)
-        fresh = np.ones(len(keys), bool)
-        if len(self.known):
-            fresh = self.known[np.minimum(at, len(self.known) - 1)] != keys
-        if fresh.any():
-            raw, pick = data.tobytes(), first[fresh]
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[pick].tolist(), words.end[pick].tolist())]
-            new = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, new), np.int64, len(new))
-            self.known_at = np.insert(self.known_at, at[fresh], len(self.off) - 1 + np.arange(len(new)))
-            self.known = np.insert(self.known, at[fresh], keys[fresh])
-            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(lengths)])
-            self.ids = np.concatenate([self.ids, np.fromiter((t for x in new for t in x), np.uint32, int(lengths.sum()))])
-        entry = self.known_at[np.searchsorted(self.known, keys)][where]
-        begin = self.off[entry]
-        length = self.off[entry + 1] - begin
+        ids, length = self.words.lists(data, words.start, words.end, self._fresh)
         upto = np.concatenate([[0], np.cumsum(length)])
         of_doc = np.diff(upto[words.first])
         out = np.full(int(of_doc.sum()) + len(of_doc), end_id, np.uint32)
         last = np.cumsum(of_doc + 1) - 1
         own = np.ones(len(out), bool)
         own[last] = False
-        out[own] = self.ids[ragged(begin, length)]
+        out[own] = ids
         return out, of_doc + 1
 
 
