@@ -1,27 +1,29 @@
 """Quality rules: robust multivariate outliers per language and source.
 
 Each document gets counts (one vectorised pass over whole texts), then a
-vector of six transformed rates in fixed point.  Per group of language and
-source a minimum-covariance-determinant estimate is found by concentration
-steps: from medians and quartile ranges of the histogram of all rows, each
-step keeps the 75 % of rows nearest to the centre and takes their mean and
-covariance.  A step is one aggregate whose rows are distance bins of a group,
-with exact integer sums, so a group may hold any share of the rows, results
-don't depend on the order of rows, and nothing reaches the driver but counts.
-Documents farther than a cut of the Mahalanobis distance are rejected.
-
-The covariance is regularised by a floor on each rate's deviation, so that
-rates that are constant in clean text (symbols, repeated lines) don't reject
-one email address or a repeated line.  Groups of fewer than ``least`` rows
-that pass the base rules are judged by an estimate over all such rows of their
-language, large groups included; where the language has too few as well, by
-one over all such rows of the table, however few, so every row has a distance
-unless the whole table fails.  Below ``LEAST`` rows the floor holds in every
-direction, as few rows may span less than all of them.
+vector of six transformed rates in fixed point.  Minimum-covariance-determinant
+estimates are found at three levels at once: for every group of language and
+source whatever its size, for every language over all of its rows, and for the
+table.  Each has several starts (medians with quartile ranges, plain moments,
+the half nearest to the medians).  A concentration step keeps the 75 % of rows
+nearest to the centre and takes their mean and covariance; steps go on as long
+as the determinant falls, and the start of the least determinant stays.  A step is one
+aggregate whose rows are distance bins of a group, with exact integer sums, so
+a group may hold any share of the rows, results don't depend on the order of
+rows, and nothing reaches the driver but counts.
+
+A group's centre and scatter are drawn towards its language's, and a
+language's towards the table's, by the weight of ``PULL`` rows: a group of
+three rows is judged mostly by its language, one of a million by itself, and
+nothing switches in between.  A floor on each rate's deviation, in every
+direction, keeps rates that are constant in clean text (symbols, repeated
+lines) from rejecting one email address or a repeated line.  Documents farther
+than a cut of the Mahalanobis distance are rejected.
 
 Defined results: null or empty texts have no words and fail the base rules;
 null languages and sources are groups of their own; repeated rows count each
-and get the same verdict; texts are taken whole; other columns are left alone.
+and get the same verdict; texts are taken whole; rows that fail the base rules
+are in no estimate; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -44,10 +46,9 @@ RATES = ("symbols", "lines", "repeats", "length", "capitals", "marks")
 #: Least deviation of each transformed rate, in its own unit.
 FLOORS = (0.05, 0.12, 0.18, 0.35, 0.08, 0.08)
 UNIT = 1024
-BINS = 16  # distance bins per doubling
+BINS = 64  # distance bins per doubling
 SHARE = 0.75
-STEPS = 4
-LEAST = 200
+PULL_CENTRE, PULL_SCATTER = 20.0, 100.0
 CUT = 40.0
 
 _symbol = np.zeros(256, bool)
@@ -144,11 +145,13 @@ def rates() -> list[Column]:
 
 D = len(RATES)
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
+_WEIGHTS = [T.StructField(f"m{i}", T.DoubleType()) for i in range(D)] + [T.StructField(f"p{i}_{j}", T.DoubleType()) for i, j in PAIRS]
 _PARAMS = T.StructType(
-    [T.StructField("g", T.StringType()), T.StructField("rows", T.LongType())]
-    + [T.StructField(f"m{i}", T.DoubleType()) for i in range(D)]
-    + [T.StructField(f"p{i}_{j}", T.DoubleType()) for i, j in PAIRS]
+    [T.StructField("g", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("rows", T.LongType()), T.StructField("det", T.DoubleType()), T.StructField("moved", T.BooleanType())]
+    + _WEIGHTS
+    + [T.StructField(f"c{i}_{j}", T.DoubleType()) for i, j in PAIRS]
 )
+_FITTED = T.StructType([T.StructField("g0", T.StringType()), *_WEIGHTS])
 
 
 def chi2_quantile(d: int, z: float) -> float:
@@ -164,84 +167,144 @@ def _distance() -> Column:
     return total
 
 
-def _params_row(g: str, n: int, mean: np.ndarray, cov: np.ndarray) -> list:
-    floor = np.square(np.array(FLOORS) * UNIT)
-    cov = cov + np.diag(np.maximum(floor - np.diag(cov), 0))
-    if n < LEAST:
-        unit = np.sqrt(np.outer(floor, floor))
-        size, axes = np.linalg.eigh(cov / unit)
-        cov = (axes * np.maximum(size, 1.0)) @ axes.T * unit
+def _sound(cov: np.ndarray) -> tuple[np.ndarray, float]:
+    """The covariance with the floors as least deviations in every direction, and its log-determinant.
+
+    Variance under the floors counts beside the determinant, so that
+    concentration steps never raise the sum.
+    """
+    unit = np.array(FLOORS) * UNIT
+    size, axes = np.linalg.eigh(cov / np.outer(unit, unit))
+    full = np.maximum(size, 1.0)
+    return (axes * full) @ axes.T * np.outer(unit, unit), float((np.log(full) + size / full).sum())
+
+
+def _weights(mean: np.ndarray, cov: np.ndarray) -> list[float]:
     p = np.linalg.inv(cov)
-    return [g, n, *mean.tolist(), *[float(p[i, j]) * (1 if i == j else 2) for i, j in PAIRS]]
+    return [*mean.tolist(), *[float(p[i, j]) * (1 if i == j else 2) for i, j in PAIRS]]
+
+
+def _params_row(g: str, start: int, n: int, mean: np.ndarray, cov: np.ndarray) -> list:
+    sound, det = _sound(cov)
+    return [g, start, n, det, True, *_weights(mean, sound), *[float(cov[i, j]) for i, j in PAIRS]]
+
+
+def _matrix(values: list[float]) -> np.ndarray:
+    out = np.zeros((D, D))
+    for (i, j), v in zip(PAIRS, values):
+        out[i, j] = out[j, i] = v
+    return out
+
 
+def _moments(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of integer sums."""
+    h = float(rows["n"].sum())
+    mean = np.array([float(rows[f"s{i}"].sum()) for i in range(D)]) / h
+    return mean, _matrix([float(rows[f"q{i}_{j}"].sum()) / h - mean[i] * mean[j] for i, j in PAIRS])
 
-def _start(vectors: DataFrame) -> DataFrame:
-    """Medians and quartile ranges of each rate and group, from histograms."""
+
+def _sums() -> list[Column]:
+    return [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(D)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in PAIRS]]
+
+
+def _starts(vectors: DataFrame) -> DataFrame:
+    """Start 0: medians and quartile ranges of each rate, from histograms. Start 1: plain moments. Start 2 begins as start 0, with half of the rows."""
     cells = vectors.select("g", F.posexplode(F.array(*[F.col(f"x{i}") for i in range(D)])).alias("i", "x"))
     cells = cells.groupBy("g", "i", F.shiftright("x", 2).alias("cell")).agg(F.count("*").alias("n"))
     upto, all_ = Window.partitionBy("g", "i").orderBy("cell"), Window.partitionBy("g", "i")
     cells = cells.withColumn("upto", F.sum("n").over(upto)).withColumn("rows", F.sum("n").over(all_))
     at = [F.min(F.when(F.col("upto") >= q * F.col("rows"), F.col("cell") * 4.0 + 2)).alias(c) for q, c in ((0.25, "lo"), (0.5, "mid"), (0.75, "hi"))]
     spots = cells.groupBy("g", "i").agg(*at, F.max("rows").alias("rows"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i")
-        spread = (rows["hi"].to_numpy() - rows["lo"].to_numpy()) / 1.349
-        return pd.DataFrame([_params_row(rows["g"].iloc[0], int(rows["rows"].iloc[0]), rows["mid"].to_numpy(), np.diag(spread**2))], columns=_PARAMS.names)
-
-    return spots.groupBy("g").applyInPandas(run, _PARAMS)
-
-
-def _step(vectors: DataFrame, params: DataFrame, groups: int) -> DataFrame:
-    """One concentration step: mean and covariance of the nearest rows of each group."""
-    bin_ = F.least(F.lit(2000), F.greatest(F.lit(0), F.floor(F.log2(_distance() + 2.0**-8) * BINS) + 8 * BINS)).cast("int")
-    near = vectors.join(broadcast_if_small(params, groups), "g").withColumn("bin", bin_)
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(D)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in PAIRS]
-    bins = near.groupBy("g", "bin").agg(F.count("*").alias("n"), *sums)
+    medians = spots.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "lo", "mid", "hi"))).alias("spots"))  # one struct per rate
+    both = vectors.groupBy("g").agg(*_sums()).join(medians, "g")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k in range(len(b)):
+                row = b.iloc[k : k + 1]
+                g, n, spots = row["g"].iloc[0], int(row["n"].iloc[0]), row["spots"].iloc[0]
+                mid = np.array([x["mid"] for x in spots])
+                wide = np.diag(np.array([(x["hi"] - x["lo"]) / 1.349 for x in spots]) ** 2)
+                out += [_params_row(g, 0, n, mid, wide), _params_row(g, 1, n, *_moments(row)), _params_row(g, 2, n, mid, wide)]
+            yield pd.DataFrame(out, columns=_PARAMS.names)
+
+    return both.mapInPandas(run, _PARAMS)
+
+
+def _step(vectors: DataFrame, params: DataFrame, groups: int, first: bool) -> DataFrame:
+    """One concentration step: mean and covariance of the nearest rows of each group and start."""
+    bin_ = F.least(F.lit(4000), F.greatest(F.lit(0), F.floor(F.log2(_distance() + 2.0**-8) * BINS) + 8 * BINS)).cast("int")
+    near = vectors.join(broadcast_if_small(params.select("g", "start", *[f.name for f in _WEIGHTS]), groups), "g").withColumn("bin", bin_)
+    bins = near.groupBy("g", "start", "bin").agg(*_sums())
+    before = F.array(*[F.col(f.name).cast("double") for f in _PARAMS.fields[3:]])
+    lists = bins.join(broadcast_if_small(params.select("g", "start", before.alias("before")), groups), ["g", "start"])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("bin")
-        n = rows["n"].to_numpy(np.int64).cumsum()
-        last = int(np.searchsorted(n, SHARE * n[-1])) + 1
-        kept = rows.iloc[:last]
-        h = float(kept["n"].sum())
-        mean = np.array([float(kept[f"s{i}"].sum()) for i in range(D)]) / h
-        cov = np.zeros((D, D))
-        for i, j in PAIRS:
-            cov[i, j] = cov[j, i] = float(kept[f"q{i}_{j}"].sum()) / h - mean[i] * mean[j]
-        # the nearest 75 % understate the spread: scale so that their edge stands at the chi-squared quantile
-        z = 0.6745 if SHARE == 0.75 else 0.0
-        edge = chi2_quantile(D, z)
-        inner = chi2_quantile(D + 2, z)
-        cov *= max(1.0, edge / max(inner - 2, 1e-9)) if last < len(rows) else 1.0
-        return pd.DataFrame([_params_row(rows["g"].iloc[0], int(n[-1]), mean, cov)], columns=_PARAMS.names)
-
-    return bins.groupBy("g").applyInPandas(run, _PARAMS)
-
-
-def judge(docs: DataFrame, steps: int = STEPS, least: int = LEAST, cut: float = CUT) -> DataFrame:
+        n, start = rows["n"].to_numpy(np.int64).cumsum(), int(rows["start"].iloc[0])
+        share = 0.5 if first and start == 2 else SHARE
+        last = int(np.searchsorted(n, share * n[-1])) + 1
+        mean, cov = _moments(rows.iloc[:last])
+        row = _params_row(rows["g"].iloc[0], start, int(n[-1]), mean, cov)
+        old = list(rows["before"].iloc[0])
+        if not first and row[3] >= old[0] - 1e-9:
+            row[3:] = [old[0], False, *old[2:]]
+        return pd.DataFrame([row], columns=_PARAMS.names)
+
+    return lists.groupBy("g", "start").applyInPandas(run, _PARAMS)
+
+
+def estimates(vectors: DataFrame) -> DataFrame:
+    """Per g of vectors(g, x0..): the settled parameters of the start with the least determinant."""
+    params = materialize(_starts(vectors), "params")
+    fits = params.count()
+    left, first = fits, True
+    while left:
+        stepped = _step(vectors, params.filter("moved"), fits, first)
+        params = materialize(stepped.unionByName(params.filter("not moved")), "params")
+        left, first = params.filter("moved").count(), False
+    columns = [c for c in params.columns if c not in ("g", "moved")]
+    best = params.groupBy("g").agg(F.min_by(F.struct(*columns), F.struct("det", "start")).alias("best"))
+    return best.select("g", "best.*")
+
+
+def _pulled(own: DataFrame, groups: DataFrame) -> DataFrame:
+    """Per group (g0, l) its parameters, drawn to its language's and those to the table's."""
+    sides = ["rows", *[f"m{i}" for i in range(D)], *[f"c{i}_{j}" for i, j in PAIRS]]
+    part = lambda at, key: own.select(F.col("g").alias(key), F.array(*[F.col(c).cast("double") for c in sides]).alias(at))
+    # the nearest rows understate the spread: scale so that their edge stands at the chi-squared quantile
+    scale = max(1.0, chi2_quantile(D, 0.6745) / max(chi2_quantile(D + 2, 0.6745) - 2, 1e-9))
+    rows = groups.select("g0", "l", F.lit("[]").alias("every")).join(part("a", "g0"), "g0", "left").join(part("b", "l"), "l", "left").join(part("c", "every"), "every")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for g0, *levels in zip(batch["g0"], batch["c"], batch["b"], batch["a"]):
+                mean = cov = None
+                for level in levels:
+                    if level is None:
+                        continue
+                    n, m, c = float(level[0]), np.asarray(level[1 : D + 1], float), scale * _matrix(list(level[D + 1 :]))
+                    a, b = (1.0, 1.0) if mean is None else (n / (n + PULL_CENTRE), n / (n + PULL_SCATTER))
+                    mean = m if mean is None else a * m + (1 - a) * mean
+                    cov = c if cov is None else b * c + (1 - b) * cov
+                out.append([g0, *_weights(mean, _sound(cov)[0])])
+            yield pd.DataFrame(out, columns=_FITTED.names)
+
+    return rows.select("g0", "a", "b", "c").mapInPandas(run, _FITTED)
+
+
+def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
     """Per row of docs: doc_id, key, the counts, base_failed, distance and kept."""
     spark = docs.sparkSession
     stats = materialize(statistics(docs), "statistics")
-    group, lang, every = F.to_json(F.array("lang", "source")), F.to_json(F.array("lang")), F.lit("[]")
-    sizes = stats.withColumn("failed", base_failed()).groupBy(group.alias("g0"), lang.alias("l")).agg(F.sum((~F.col("failed")).cast("long")).alias("rows"))
-    of_lang = F.sum("rows").over(Window.partitionBy("l"))
-    sizes = sizes.withColumn("g", F.when(F.col("rows") >= least, F.col("g0")).when(of_lang >= least, F.col("l")).otherwise(every))
-    sizes = materialize(sizes, "groups")
-    groups = sizes.count()
-    # a pool is fitted on all of its rows, those of groups with an estimate of their own too
-    pools = sizes.groupBy("l").agg(F.max((F.col("g") == F.col("l")).cast("int")).alias("of_lang"))
-    of_all = F.lit(bool(sizes.filter(F.col("g") == every).head(1)))
-    fits = F.array_compact(F.array(F.when(F.col("g") == F.col("g0"), F.col("g0")), F.when(F.col("of_lang") == 1, F.col("l")), F.when(of_all, every)))
-    sizes = materialize(sizes.join(pools, "l").select("g0", "g", fits.alias("fits")), "fits")
-    fitted = sizes.select(F.explode("fits").alias("g")).distinct().count()
-    vectors = stats.withColumn("g0", group).join(broadcast_if_small(sizes, groups), "g0").withColumn("failed", base_failed())
-    vectors = materialize(vectors.select("doc_id", "key", "g", "fits", "failed", *COUNTS[:5], *rates()), "vectors")
-    sound = vectors.filter("not failed").select(F.explode("fits").alias("g"), *[f"x{i}" for i in range(D)])
-    params = materialize(_start(sound), "params")
-    for _ in range(steps):
-        params = materialize(_step(sound, params, fitted), "params")
-    out = vectors.join(broadcast_if_small(params, fitted), "g", "left").withColumn("distance", _distance())
+    vectors = stats.select("doc_id", "key", F.to_json(F.array("lang", "source")).alias("g0"), F.to_json(F.array("lang")).alias("l"), base_failed().alias("failed"), *COUNTS[:5], *rates())
+    vectors = materialize(vectors, "vectors")
+    sound = vectors.filter("not failed").select(F.explode(F.array("g0", "l", F.lit("[]"))).alias("g"), *[f"x{i}" for i in range(D)])
+    groups = materialize(vectors.select("g0", "l").distinct(), "groups")
+    fitted = materialize(_pulled(estimates(sound), groups), "fitted")
+    out = vectors.join(broadcast_if_small(fitted, groups.count()), "g0", "left").withColumn("distance", _distance())
     delete(spark, stats)
     return out.select(
         "doc_id",
