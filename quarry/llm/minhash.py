@@ -12,16 +12,20 @@ Groups of any size are handled without forming their pairs:
 1. documents with equal sets form one class, and its smallest doc_id stands
    for it from then on;
 2. each bucket has a pseudo-random leader; its members are checked against the
-   leader only, and confirmed links give components;
+   leader only, and confirmed links give components.  Buckets that still hold
+   several components get new leaders, ``rounds`` times in all;
 3. what may still be missing are links between components that share a
-   bucket.  Components are put into the family of the largest component they
-   share a bucket with, and the documents outside a family's main component
-   are checked against the whole family in blocks (one task holds two blocks
-   of 128 documents).  Pairs that share a bucket across families are checked
-   one by one.
-
-So every pair of different texts that shares a bucket is checked, unless it is
-already in one component.
+   bucket.  Of the documents in such buckets, two can only be similar enough if
+   their sets share a shingle within their prefixes: the first n - 0.8 n + 1
+   shingles in one order of all shingles, rarest first (counted in a table of
+   fixed size; any order is exact, a rare one meets less).  Pairs of different
+   components that meet there, and whose places and sizes still allow the
+   similarity, are counted exactly.  A pair's documents lie in tiles of their
+   family (the largest component they share a bucket with), and a tile of
+   pairs gets each of its documents' shingles once.
+
+So every pair of different texts that shares a bucket is linked if it is similar
+enough, without forming the pairs of a bucket.
 
 Defined results: null or empty texts have an empty set and link with nothing;
 a text of fewer words than a shingle has one shingle of all its words; rows
@@ -35,17 +39,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import delete, materialize, ranked
 from .graph import components
-from .kernel import LOWER, Words, mix, run_hash, slices
+from .kernel import LOWER, Words, mix, run_hash, slices, trim
 
 BANDS, ROWS = 40, 5
-BLOCK = 128
+TILE = 128  # documents of a family in one tile
+SLOTS = 1 << 20  # of the table that counts shingles
 
 
 def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +143,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
             n = batch.num_rows
             for i in range(0, n, 256):
                 part = batch.slice(i, 256)
+                whole = pc.equal(part.column(2), part.column(3))  # equal texts have equal sets
+                yield pa.RecordBatch.from_pydict({"a": part.column(0).filter(whole), "b": part.column(1).filter(whole)})
+                part = part.filter(pc.invert(whole))
                 m = part.num_rows
                 texts_ = pa.chunked_array([part.column(2), part.column(3)]).combine_chunks()
                 sets, offs = [], [np.zeros(1, np.int64)]
@@ -145,6 +153,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
                     value, at = shingle_sets(data, off, width)
                     sets.append(value)
                     offs.append(at[1:] + offs[-1][-1])
+                if not m:
+                    continue
                 good = _linked(np.concatenate(sets), np.concatenate(offs), np.arange(m), np.arange(m, 2 * m), percent)
                 yield pa.RecordBatch.from_pydict({"a": part.column(0).filter(pa.array(good)), "b": part.column(1).filter(pa.array(good))})
 
@@ -154,66 +164,118 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 
 
 def _stars(members: DataFrame, salt: int, percent: int) -> DataFrame:
-    """Each bucket's members beside its leader of this round."""
+    """(a, b): members of a bucket beside its leader of this round, where components and sizes leave something to check."""
     mask = F.xxhash64("key", F.lit(salt))
-    leaders = materialize(members.groupBy("key").agg(F.min(F.col("doc_id").bitwiseXOR(mask)).alias("code")), "leaders")
-    joined = members.join(leaders, "key").select("doc_id", "n", "component", F.col("code").bitwiseXOR(mask).alias("leader"))
-    pairs = joined.filter("doc_id <> leader").select(F.col("doc_id").alias("b"), F.col("leader").alias("a"), F.col("n").alias("nb"), "component").distinct()
-    return pairs
+    code = F.min(F.struct(F.col("doc_id").bitwiseXOR(mask).alias("code"), F.col("n").alias("na"), F.col("component").alias("other")))
+    leaders = materialize(members.groupBy("key").agg(code.alias("lead")).select("key", F.col("lead.code").bitwiseXOR(mask).alias("a"), "lead.na", "lead.other"), "leaders")
+    pairs = members.join(leaders, "key").filter(
+        (F.col("component") != F.col("other")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na"))
+    )
+    return pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
+
 
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component, with their component and its size."""
+    sized = labels.join(labels.groupBy("component").agg(F.count("*").alias("size")), "component")
+    at = materialize(members.select("key", "doc_id", "n").join(sized, "doc_id"), "at")
+    keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("size", "component")).alias("main"))
+    keys = materialize(keys.filter("lo < hi").select("key", F.col("main.size").alias("main_size"), F.col("main.component").alias("main")), "open")
+    out = materialize(at.join(keys, "key"), "members")
+    delete(members.sparkSession, at, keys)
+    return out
 
-def _blocks(family: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between components of one family, its lesser components against all of it, block by block.
 
-    family: (doc_id, component, family, main).
-    """
-    counts = family.groupBy("family").agg(
-        F.ceil(F.count_if(~F.col("main")) / BLOCK).cast("int").alias("nx"), F.ceil(F.count("*") / BLOCK).cast("int").alias("ny")
-    ).filter("nx > 0")
-    counts = materialize(counts, "counts")
-    rows = family.join(counts, "family").withColumn("at", F.xxhash64("doc_id"))
-    x = rows.filter("not main").select(
-        "family", "doc_id", "component", F.lit(0).alias("side"), F.pmod("at", "nx").cast("int").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("yb")
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(doc_id, component, tile, sh) of (doc_id, component, tile, text): sh has the distinct shingles, ascending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, off in slices(batch.column(3)):
+                value, at = shingle_sets(data, off, width)
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(i, j - i) for k in range(3)], lists], ["doc_id", "component", "tile", "sh"])
+
+    return texts.select("doc_id", "component", "tile", "text").mapInArrow(run, "doc_id long, component long, tile long, sh array<long>")
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, component, tile, n, sh, at): the shingles of each set's prefix and their places in it."""
+    spark = sets.sparkSession
+    slot = F.col("s").bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+    counted = sets.select(F.explode("sh").alias("s")).groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).toArrow()  # SLOTS rows at most
+    table = np.zeros(SLOTS, np.int64)
+    table[np.asarray(counted["slot"])] = np.asarray(counted["n"])
+    shared = spark.sparkContext.broadcast(np.minimum(table, (1 << 31) - 1).astype(np.int32))  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = shared.value
+        for batch in batches:
+            value = np.asarray(batch.column(3).flatten()).view(np.uint64)
+            n = np.asarray(batch.column(3).value_lengths()).astype(np.int64)
+            doc = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((value, times[(value & np.uint64(SLOTS - 1)).astype(np.int64)], doc))
+            first = np.concatenate([[0], np.cumsum(n)])
+            place = np.arange(len(value)) - first[doc]
+            short = place < (n - -(-percent * n // 100) + 1)[doc]
+            pick, own = order[short], doc[short]
+            take = pa.array(own)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": batch.column(0).take(take),
+                    "component": batch.column(1).take(take),
+                    "tile": batch.column(2).take(take),
+                    "n": n[own],
+                    "sh": value[pick].view(np.int64),
+                    "at": place[short],
+                }
+            )
+
+    rows = sets.select("doc_id", "component", "tile", "sh")
+    return rows.mapInArrow(run, "doc_id long, component long, tile long, n long, sh long, at long")
+
+
+def _meetings(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ta, tb): pairs of different components that may be similar enough, with their tiles."""
+    rows = materialize(_prefixes(sets, percent), "prefixes")
+    mixed = rows.groupBy("sh").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sh")
+    rows = materialize(rows.join(mixed, "sh", "left_semi"), "mixed")
+    side = lambda x: rows.select("sh", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "component", "tile", "n", "at")])
+    # what two sets share at most if they first meet at these places, against what the similarity asks for
+    most = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    may = (100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n"))
+    sizes = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    pairs = side("a").join(side("b"), "sh").filter((F.col("a_component") < F.col("b_component")) & sizes & may)
+    return pairs.groupBy(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).agg(F.first("a_tile").alias("ta"), F.first("b_tile").alias("tb"))
+
+
+def _counted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of (a, b, ta, tb) whose sets are similar enough; a tile of pairs gets each set once."""
+    pairs = materialize(pairs, "meetings")
+    side = lambda x: pairs.select("ta", "tb", F.col(x).alias("doc_id")).distinct()
+    held = side("a").union(side("b")).distinct().join(sets.select("doc_id", "sh"), "doc_id")
+    rows = pairs.select("ta", "tb", "a", "b", F.lit(None).cast("array<long>").alias("sh")).unionByName(
+        held.select("ta", "tb", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "sh")
     )
-    y = rows.select(
-        "family", "doc_id", "component", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("xb"), F.pmod("at", "ny").cast("int").alias("yb")
-    ).select(x.columns)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sets, offs = [], [np.zeros(1, np.int64)]
-        for _, _, data, off in slices(pa.array(rows["text"], pa.string())):
-            value, at = shingle_sets(data, off, width)
-            sets.append(value)
-            offs.append(at[1:] + offs[-1][-1])
-        value, at = np.concatenate(sets), np.concatenate(offs)
-        ids, comp, side = rows["doc_id"].to_numpy(), rows["component"].to_numpy(), rows["side"].to_numpy()
-        # shared shingles of each (x, y): both sides' postings of a shingle stand together
-        doc = np.repeat(np.arange(len(ids)), np.diff(at))
-        xs, ys = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        place = np.zeros(len(ids), np.int64)
-        place[xs], place[ys] = np.arange(len(xs)), np.arange(len(ys))
-        order = np.argsort(value, kind="stable")
-        v, d = value[order], doc[order]
-        s = side[d]
-        start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
-        common = np.zeros((len(xs), len(ys)), np.int32)
-        for p, q in zip(start.tolist(), np.append(start[1:], len(v)).tolist()):
-            if q - p > 1:
-                g, gs = d[p:q], s[p:q]
-                a, b = place[g[gs == 0]], place[g[gs == 1]]
-                if len(a) and len(b):
-                    common[a[:, None], b[None, :]] += 1
-        size = np.diff(at)
-        union = size[xs][:, None] + size[ys][None, :] - common
-        a, b = np.nonzero((100 * common >= percent * union) & (common > 0) & (comp[xs][:, None] != comp[ys][None, :]))
-        out = pd.DataFrame({"a": ids[xs[a]], "b": ids[ys[b]], "ca": comp[xs[a]], "cb": comp[ys[b]]})
-        return out.drop_duplicates(["ca", "cb"])[["a", "b"]]
-
-    units = x.union(y).join(texts, "doc_id")
-    return units.groupBy("family", "xb", "yb").applyInPandas(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, rounds: int = 1) -> DataFrame:
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        is_set = np.asarray(rows["b"].is_null())
+        sets_, want = rows.filter(pa.array(is_set)), rows.filter(pa.array(~is_set))
+        lists = sets_["sh"].combine_chunks()
+        value = np.asarray(lists.flatten()).view(np.uint64)
+        at = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()).astype(np.int64))])
+        ids = np.asarray(sets_["a"])
+        order = np.argsort(ids)
+        a, b = np.asarray(want["a"]), np.asarray(want["b"])
+        x, y = (order[np.searchsorted(ids[order], e)] for e in (a, b))
+        good = _linked(value, at, x, y, percent)
+        trim()
+        return pa.table({"a": a[good], "b": b[good]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return rows.groupBy("ta", "tb").applyInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, rounds: int = 2) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the least doc_id linked), kept."""
     spark = docs.sparkSession
     signed = materialize(signatures(docs, width, bands, rows), "signatures")
@@ -224,51 +286,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     shared = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key"), "shared")
     members = materialize(keyed.join(shared, "key").distinct(), "members")
     delete(spark, shared)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    same = sound.join(classes, ["s1", "s2"]).filter(F.col("doc_id") != F.col("class")).select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
+    same = materialize(same.distinct(), "same")
+    needed = members.select("doc_id").union(same.select("a")).union(same.select("b")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
     texts = materialize(texts, "texts")
 
-    same = sound.join(classes, ["s1", "s2"]).filter(F.col("doc_id") != F.col("class")).select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
     links = spark.createDataFrame([], "a long, b long")
     labels = members.select("doc_id", F.col("doc_id").alias("component")).distinct()
-    sizes = members.select(F.col("doc_id").alias("a"), F.col("n").alias("na")).distinct()
+    now = members.withColumn("component", F.col("doc_id"))
     for salt in range(rounds):
-        now = members.join(labels, "doc_id")
-        pairs = _stars(now, salt, percent)
-        other = labels.select(F.col("doc_id").alias("a"), F.col("component").alias("other"))
-        pairs = pairs.join(sizes, "a").join(other, "a").filter(
-            (F.col("component") != F.col("other")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        )
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        labels = _labels(members, links.union(confirm(pairs, texts, width, percent)))
+        found = materialize(confirm(_stars(now, salt, percent), texts, width, percent), "found")
+        if salt and not found.limit(1).count():
+            break
+        labels = _labels(members, links.union(found))
         links = labels.filter("doc_id <> component").select(F.col("component").alias("a"), F.col("doc_id").alias("b"))
+        now = _open(members, labels)
 
     # what may be missing: links between components that share a bucket
-    sized = labels.join(labels.groupBy("component").agg(F.count("*").alias("size")), "component")
-    at = materialize(members.join(sized, "doc_id"), "at")
-    open_ = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.col("size")).alias("size")).filter("lo < hi").select("key", "size")
-    open_ = materialize(open_, "open")
-    main = at.join(open_, ["key", "size"]).groupBy("key", "size").agg(F.max("component").alias("main"))
-    main = materialize(main, "main")
-    homes = at.join(main.select("key", F.col("size").alias("main_size"), "main"), "key").select("component", "main_size", "main").distinct()
-    homes = homes.groupBy("component").agg(F.max_by("main", F.struct("main_size", "main")).alias("family"))
-    homes = materialize(homes, "homes")
-    family = sized.select("doc_id", "component").join(homes, "component").withColumn("main", F.col("component") == F.col("family"))
-    family = materialize(family, "families")
-    blocks = _blocks(family, texts, width, percent)
-    placed = at.join(open_.select("key"), "key").join(family.select("doc_id", "family"), "doc_id").select("key", "doc_id", "n", "component", "family")
-    placed = materialize(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo < hi").select("key", F.col("hi").alias("chief"))
-    mixed = materialize(mixed, "mixed")
-    lesser = placed.join(mixed, "key").filter("family <> chief").drop("chief")
-    across = (
-        lesser.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("family").alias("fa"))
-        .join(placed.join(mixed.select("key"), "key").select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("family").alias("fb")), "key")
-        .filter((F.col("fa") != F.col("fb")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    grouped = components(links.union(blocks).union(confirm(across, texts, width, percent)).union(same))
-    delete(spark, members, texts, at, family, placed)
+    family = now.groupBy("doc_id", "component").agg(F.max(F.struct("main_size", "main")).alias("m"), F.max("size").alias("size"))
+    sizes = family.groupBy("m.main").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    turn = F.pmod(F.xxhash64("doc_id"), F.col("tiles"))
+    placed = family.withColumn("main", F.col("m.main")).join(sizes, "main").select("doc_id", "component", F.xxhash64("main", turn).alias("tile"))
+    sets = materialize(_sets(texts.join(placed, "doc_id"), width), "sets")
+    last = materialize(_counted(_meetings(sets, percent), sets, percent), "last")
+    grouped = components(links.union(last).union(confirm(same, texts, width, percent)))
+    delete(spark, members, now, texts, sets)
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
