@@ -23,7 +23,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first k bytes of a lane
-CACHE_BYTES, CACHE_SPAN = 32 << 20, 256
+CACHE_BYTES, CACHE_SPAN = 64 << 20, 256
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -129,9 +129,9 @@ class SpanCache:
         self.forget()
 
     def forget(self) -> None:
-        self.key, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.ids, self.ids_at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.raw, self.raw_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.key, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.ids, self.ids_at = np.zeros(0, np.uint32), np.zeros(1, np.uint32)
+        self.raw, self.raw_at = np.zeros(0, np.uint8), np.zeros(1, np.uint32)
 
     def nbytes(self) -> int:
         return sum(x.nbytes for x in (self.key, self.entry, self.ids, self.ids_at, self.raw, self.raw_at))
@@ -141,10 +141,10 @@ class SpanCache:
         first, lists = len(self.ids_at) - 1, make(spans)
         n = np.fromiter(map(len, lists), np.int64, len(lists))
         self.ids = np.concatenate([self.ids, np.fromiter((t for x in lists for t in x), np.uint32, int(n.sum()))])
-        self.ids_at = np.concatenate([self.ids_at, self.ids_at[-1] + np.cumsum(n)])
+        self.ids_at = np.concatenate([self.ids_at, (self.ids_at[-1] + np.cumsum(n)).astype(np.uint32)])
         kept = [s if 7 < len(s) <= CACHE_SPAN else b"" for s in spans]
         self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(kept), np.uint8)])
-        self.raw_at = np.concatenate([self.raw_at, self.raw_at[-1] + np.cumsum(np.fromiter(map(len, kept), np.int64, len(kept)))])
+        self.raw_at = np.concatenate([self.raw_at, (self.raw_at[-1] + np.cumsum(np.fromiter(map(len, kept), np.int64, len(kept)))).astype(np.uint32)])
         return first + np.arange(len(spans))
 
     def lists(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, make: Callable[[list[bytes]], list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
@@ -169,16 +169,17 @@ class SpanCache:
             added = self._add(bytes_of(small[first[fresh]]), make)
             self.entry = np.insert(self.entry, spot[fresh], added)
             self.key = np.insert(self.key, spot[fresh], keys[fresh])
-        own = self.entry[np.searchsorted(self.key, keys)][where]
+        own = self.entry[np.searchsorted(self.key, keys)][where].astype(np.int64)
         long = np.flatnonzero(n > 7)
-        alike = self.raw_at[own[long] + 1] - self.raw_at[own[long]] == n[long]
-        alike[alike] = _equal(data, s[long[alike]], self.raw, self.raw_at[own[long[alike]]], n[long[alike]])
+        begin, end_ = (self.raw_at[own[long] + k].astype(np.int64) for k in (0, 1))
+        alike = end_ - begin == n[long]
+        alike[alike] = _equal(data, s[long[alike]], self.raw, begin[alike], n[long[alike]])
         if not alike.all():
             other = long[~alike]
             own[other] = self._add(bytes_of(small[other]), make)
         at[small] = own
-        begin = self.ids_at[at]
-        count = self.ids_at[at + 1] - begin
+        begin = self.ids_at[at].astype(np.int64)
+        count = self.ids_at[at + 1].astype(np.int64) - begin
         return self.ids[ragged(begin, count)], count
 
 

@@ -50,7 +50,7 @@ from .kernel import LOWER, Words, mix, run_hash, slices, trim
 
 BANDS, ROWS = 40, 5
 TILE = 128  # documents of a family in one tile
-SLOTS = 1 << 20  # of the table that counts shingles
+SLOTS = 1 << 18  # of the table that counts shingles
 
 
 def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:

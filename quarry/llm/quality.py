@@ -210,10 +210,10 @@ def _sums() -> list[Column]:
 def _starts(vectors: DataFrame) -> DataFrame:
     """Start 0: medians and quartile ranges of each rate, from histograms. Start 1: plain moments. Start 2 begins as start 0, with half of the rows."""
     cells = vectors.select("g", F.posexplode(F.array(*[F.col(f"x{i}") for i in range(D)])).alias("i", "x"))
-    cells = cells.groupBy("g", "i", F.shiftright("x", 2).alias("cell")).agg(F.count("*").alias("n"))
+    cells = cells.groupBy("g", "i", F.shiftright("x", 4).alias("cell")).agg(F.count("*").alias("n"))
     upto, all_ = Window.partitionBy("g", "i").orderBy("cell"), Window.partitionBy("g", "i")
     cells = cells.withColumn("upto", F.sum("n").over(upto)).withColumn("rows", F.sum("n").over(all_))
-    at = [F.min(F.when(F.col("upto") >= q * F.col("rows"), F.col("cell") * 4.0 + 2)).alias(c) for q, c in ((0.25, "lo"), (0.5, "mid"), (0.75, "hi"))]
+    at = [F.min(F.when(F.col("upto") >= q * F.col("rows"), F.col("cell") * 16.0 + 8)).alias(c) for q, c in ((0.25, "lo"), (0.5, "mid"), (0.75, "hi"))]
     spots = cells.groupBy("g", "i").agg(*at, F.max("rows").alias("rows"))
     medians = spots.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "lo", "mid", "hi"))).alias("spots"))  # one struct per rate
     both = vectors.groupBy("g").agg(*_sums()).join(medians, "g")
