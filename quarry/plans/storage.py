@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share; a temporary one only where none is configured (tests)."""
+    """The folder all machines share; a temporary one only where none is configured and all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="quarry-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
@@ -27,9 +29,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here and lost executors cost nothing."""
+SMALL = 8  # tables of ids and parameters go into so many times fewer files
+
+
+def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends here and lost executors cost nothing.
+
+    A small table (ids or parameters, no texts) is written by a share of the
+    shuffle's partitions, so that loops don't leave thousands of tiny files.
+    """
     path = scratch_path(df.sparkSession, name)
+    if small:
+        df = df.coalesce(max(1, -(-partitions(df.sparkSession) // SMALL)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
