@@ -49,7 +49,7 @@ from .graph import components
 from .kernel import LOWER, Words, mix, run_hash, slices, trim
 
 BANDS, ROWS = 40, 5
-TILE = 128  # documents of a family in one tile
+TILE = 64  # documents of a family in one tile
 SLOTS = 1 << 18  # of the table that counts shingles
 
 
@@ -167,7 +167,7 @@ def _stars(members: DataFrame, salt: int, percent: int) -> DataFrame:
     """(a, b): members of a bucket beside its leader of this round, where components and sizes leave something to check."""
     mask = F.xxhash64("key", F.lit(salt))
     code = F.min(F.struct(F.col("doc_id").bitwiseXOR(mask).alias("code"), F.col("n").alias("na"), F.col("component").alias("other")))
-    leaders = materialize(members.groupBy("key").agg(code.alias("lead")).select("key", F.col("lead.code").bitwiseXOR(mask).alias("a"), "lead.na", "lead.other"), "leaders")
+    leaders = materialize(members.groupBy("key").agg(code.alias("lead")).select("key", F.col("lead.code").bitwiseXOR(mask).alias("a"), "lead.na", "lead.other"), "leaders", small=True)
     pairs = members.join(leaders, "key").filter(
         (F.col("component") != F.col("other")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na"))
     )
@@ -179,7 +179,7 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     sized = labels.join(labels.groupBy("component").agg(F.count("*").alias("size")), "component")
     at = materialize(members.select("key", "doc_id", "n").join(sized, "doc_id"), "at")
     keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("size", "component")).alias("main"))
-    keys = materialize(keys.filter("lo < hi").select("key", F.col("main.size").alias("main_size"), F.col("main.component").alias("main")), "open")
+    keys = materialize(keys.filter("lo < hi").select("key", F.col("main.size").alias("main_size"), F.col("main.component").alias("main")), "open", small=True)
     out = materialize(at.join(keys, "key"), "members")
     delete(members.sparkSession, at, keys)
     return out
@@ -250,7 +250,7 @@ def _meetings(sets: DataFrame, percent: int) -> DataFrame:
 
 def _counted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of (a, b, ta, tb) whose sets are similar enough; a tile of pairs gets each set once."""
-    pairs = materialize(pairs, "meetings")
+    pairs = materialize(pairs, "meetings", small=True)
     side = lambda x: pairs.select("ta", "tb", F.col(x).alias("doc_id")).distinct()
     held = side("a").union(side("b")).distinct().join(sets.select("doc_id", "sh"), "doc_id")
     rows = pairs.select("ta", "tb", "a", "b", F.lit(None).cast("array<long>").alias("sh")).unionByName(
@@ -272,22 +272,22 @@ def _counted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         trim()
         return pa.table({"a": a[good], "b": b[good]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return rows.groupBy("ta", "tb").applyInArrow(run, "a long, b long")
+    return rows.groupBy("ta", "tb").applyInArrow(run, "a long, b long").distinct()  # a shuffle, so that few files follow many tasks
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, rounds: int = 1) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the least doc_id linked), kept."""
     spark = docs.sparkSession
     signed = materialize(signatures(docs, width, bands, rows), "signatures")
     sound = signed.filter("doc_id is not null and n > 0")
-    classes = materialize(sound.groupBy("s1", "s2").agg(F.min("doc_id").alias("class")), "classes")
+    classes = materialize(sound.groupBy("s1", "s2").agg(F.min("doc_id").alias("class")), "classes", small=True)
     heads = classes.select(F.col("class").alias("doc_id")).distinct()
     keyed = sound.join(heads, "doc_id", "left_semi").select("doc_id", "n", F.explode("keys").alias("key"))
-    shared = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key"), "shared")
+    shared = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key"), "shared", small=True)
     members = materialize(keyed.join(shared, "key").distinct(), "members")
     delete(spark, shared)
     same = sound.join(classes, ["s1", "s2"]).filter(F.col("doc_id") != F.col("class")).select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
-    same = materialize(same.distinct(), "same")
+    same = materialize(same.distinct(), "same", small=True)
     needed = members.select("doc_id").union(same.select("a")).union(same.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
     texts = materialize(texts, "texts")
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     labels = members.select("doc_id", F.col("doc_id").alias("component")).distinct()
     now = members.withColumn("component", F.col("doc_id"))
     for salt in range(rounds):
-        found = materialize(confirm(_stars(now, salt, percent), texts, width, percent), "found")
+        found = materialize(confirm(_stars(now, salt, percent), texts, width, percent), "found", small=True)
         if salt and not found.limit(1).count():
             break
         labels = _labels(members, links.union(found))
@@ -309,7 +309,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     turn = F.pmod(F.xxhash64("doc_id"), F.col("tiles"))
     placed = family.withColumn("main", F.col("m.main")).join(sizes, "main").select("doc_id", "component", F.xxhash64("main", turn).alias("tile"))
     sets = materialize(_sets(texts.join(placed, "doc_id"), width), "sets")
-    last = materialize(_counted(_meetings(sets, percent), sets, percent), "last")
+    last = materialize(_counted(_meetings(sets, percent), sets, percent), "last", small=True)
     grouped = components(links.union(last).union(confirm(same, texts, width, percent)))
     delete(spark, members, now, texts, sets)
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -320,7 +320,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 def _labels(members: DataFrame, links: DataFrame) -> DataFrame:
     found = components(links).withColumnRenamed("node", "doc_id")
     ids = members.select("doc_id").distinct()
-    return materialize(ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")), "components")
+    return materialize(ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")), "components", small=True)
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:

@@ -257,12 +257,12 @@ def _step(vectors: DataFrame, params: DataFrame, groups: int, first: bool) -> Da
 
 def estimates(vectors: DataFrame) -> DataFrame:
     """Per g of vectors(g, x0..): the settled parameters of the start with the least determinant."""
-    params = materialize(_starts(vectors), "params")
+    params = materialize(_starts(vectors), "params", small=True)
     fits = params.count()
     left, first = fits, True
     while left:
         stepped = _step(vectors, params.filter("moved"), fits, first)
-        params = materialize(stepped.unionByName(params.filter("not moved")), "params")
+        params = materialize(stepped.unionByName(params.filter("not moved")), "params", small=True)
         left, first = params.filter("moved").count(), False
     columns = [c for c in params.columns if c not in ("g", "moved")]
     best = params.groupBy("g").agg(F.min_by(F.struct(*columns), F.struct("det", "start")).alias("best"))
@@ -302,8 +302,8 @@ def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
     vectors = stats.select("doc_id", "key", F.to_json(F.array("lang", "source")).alias("g0"), F.to_json(F.array("lang")).alias("l"), base_failed().alias("failed"), *COUNTS[:5], *rates())
     vectors = materialize(vectors, "vectors")
     sound = vectors.filter("not failed").select(F.explode(F.array("g0", "l", F.lit("[]"))).alias("g"), *[f"x{i}" for i in range(D)])
-    groups = materialize(vectors.select("g0", "l").distinct(), "groups")
-    fitted = materialize(_pulled(estimates(sound), groups), "fitted")
+    groups = materialize(vectors.select("g0", "l").distinct(), "groups", small=True)
+    fitted = materialize(_pulled(estimates(sound), groups), "fitted", small=True)
     out = vectors.join(broadcast_if_small(fitted, groups.count()), "g0", "left").withColumn("distance", _distance())
     delete(spark, stats)
     return out.select(
