@@ -138,10 +138,9 @@ class Engine:
         notes = [("by_name", f"matched by the name {member}: uses of different symbols with this name are listed together", 0)]
         if member != name:
             notes.append(("qualified", f"{name} was matched by its last member {member}", 0))
-        conditional = refs.incompleteness(files, files.select("root", "path")).agg(F.collect_list("path").alias("p"), F.count("*").alias("n"))
-        one = conditional.select(refs.file_list(F.col("p")).alias("shown"), "n").first()
-        if one["n"]:
-            notes.append(("conditional", f"conditional compilation in {one['shown']}", one["n"]))
+        told = {"conditional": "conditional compilation in", "clash": "a using gives names another meaning in", "unreadable": "no text could be read of"}
+        for r in refs.file_list(refs.incompleteness(files, files.select("root", "path")), ["reason"]).collect():  # one row per reason
+            notes.append((r["reason"], f"{told[r['reason']]} {r['shown']}", r["n"]))
         got = self._capped(rows, search.clamp(max_results), notes)
         return got
 

@@ -6,29 +6,39 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import paths as ps
 from ..functions import text as tx
 from . import search
 
 
+_PIECE = re.compile(r"(?P<op>\boperator(?!\w).*)|(?P<sep>::)|(?P<open><)|(?P<close>>)|(?P<word>.)", re.DOTALL)
+
+
+def _unbracketed(name: str) -> list[str]:
+    """The parts of a name between '::', without what stands in balanced <...>; an operator name ends the last part."""
+    parts, nested = [""], 0
+    for piece in _PIECE.finditer(name):
+        kind = piece.lastgroup
+        if kind == "op" and not nested:
+            parts[-1] += piece[0]
+            break
+        if kind == "op":  # inside brackets it is a type's name like any other
+            return _unbracketed(name[: piece.start()] + name[piece.start() :].replace("operator", "Operator", 1))
+        nested += (kind == "open") - (kind == "close" and nested > 0)
+        if nested or kind == "close":
+            continue
+        if kind == "sep":
+            parts.append("")
+        else:
+            parts[-1] += piece[0]
+    return parts
+
+
 def member_of_qualified(name: str) -> str:
     """The last member of a qualified name, without template arguments; operator names run to the end."""
-    depth, start, cut, i = 0, 0, None, 0
-    while i < len(name):
-        if not depth and re.match(r"operator(?![\w])", name[i:]) and (i == 0 or not re.match(r"\w", name[i - 1])):
-            cut = None
-            break
-        c = name[i]
-        if c == "<":
-            cut = i if depth == 0 and cut is None else cut
-            depth += 1
-        elif c == ">":
-            depth = max(0, depth - 1)
-        elif not depth and name.startswith("::", i):
-            start, cut, i = i + 2, None, i + 1
-        i += 1
-    return name[start:cut].strip() or name
+    return _unbracketed(name)[-1].strip() or name
 
 
 def attribute_short(name: str) -> str:
@@ -98,13 +108,42 @@ def linking_projects(links: DataFrame, root: str, excluding: str | None = None)
 
 
 def incompleteness(files: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidate C# files with conditional compilation."""
+    """(root, path, reason): candidate C# files that one reading by name may not tell whole.
+
+    conditional: conditional compilation hides code; clash: a using alias or a
+    global using gives the name another meaning; unreadable: no text.
+    """
     chosen = files.filter(ps.is_csharp(F.col("path"))).join(candidates, ["root", "path"], "left_semi")
-    return chosen.filter(tx.has_conditional(F.col("text"))).select("root", "path")
+    text = F.col("text")
+    reasons = F.array_compact(
+        F.array(
+            F.when(text.isNull(), "unreadable"),
+            F.when(tx.has_conditional(text), "conditional"),
+            F.when(text.rlike(r"(?m)^[ \t]*(global[ \t]+)?using[ \t]+(static[ \t]+[\w.]+[ \t]*;|\w+[ \t]*=)"), "clash"),
+        )
+    )
+    return chosen.select("root", "path", F.explode(reasons).alias("reason"))
+
+
+def file_list(rows: DataFrame, keys: list[str], path: str = "path", shown: int = 5) -> DataFrame:
+    """Per key: the first paths in any case's order and how many more there are; no group is gathered."""
+    order = Window.partitionBy(*keys).orderBy(F.lower(path), path)
+    first = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= shown)
+    first = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_r"), F.col(path).alias("p")))).alias("_p"))  # shown rows at most
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    more = F.when(F.col("n") > shown, F.concat(F.lit(", +"), (F.col("n") - shown).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    return first.join(counted, keys).select(*keys, F.concat(F.array_join(F.transform("_p", lambda x: x["p"]), ", "), more).alias("shown"), "n")
+
+
+def still_there(hits: DataFrame, files: DataFrame, token: str) -> DataFrame:
+    """hits with stale: the token no longer stands at the row's place in the present text; such rows are kept, no span is held against them."""
+    now = files.select("root", "path", F.col("text").alias("_now"))
+    line = F.get(tx.lines(F.col("_now")), F.col("line") - 1)
+    same = F.coalesce(F.substring(line, F.col("col"), F.lit(len(token))) == token, F.lit(False))
+    return hits.join(now, ["root", "path"], "left").withColumn("stale", ~same).drop("_now")
 
 
-def file_list(paths: Column) -> Column:
-    """The first five paths in any case's order, and how many more there are."""
-    in_order = F.transform(F.array_sort(F.transform(paths, lambda p: F.struct(F.lower(p).alias("k"), p.alias("p")))), lambda x: x["p"])
-    more = F.when(F.size(paths) > 5, F.concat(F.lit(", +"), (F.size(paths) - 5).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
-    return F.concat(F.array_join(F.slice(in_order, 1, 5), ", "), more)
+def outside_spans_or_stale(hits: DataFrame, spans: DataFrame, files: DataFrame, token: str) -> DataFrame:
+    """Hits outside comments and strings; a hit whose coordinates are stale fails open and stays."""
+    marked = still_there(hits, files, token)
+    return outside_spans(marked.filter("not stale"), spans).unionByName(marked.filter("stale"))

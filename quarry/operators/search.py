@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,10 +17,28 @@ from ..functions import text as tx
 PER_FILE = 64
 
 
+PART = 4 << 20  # bytes of text whose trigrams are formed at once
+
+
 def postings(files: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(keys..., tri): one row per file and distinct trigram."""
+    """(keys..., tri): one row per file and distinct trigram; rows of one file stay one file's (keys are unique)."""
     keys = keys or ["root", "path"]
-    return files.select(*keys, F.explode(tx.trigrams("text")).alias("tri"))
+    rows = files.select(*keys, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, i = batch.column(len(keys)), 0
+            size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + PART, "right")))
+                row, tri = tx.trigram_rows(texts.slice(i, j - i))
+                for k in range(0, len(tri), 1 << 18):
+                    at = pa.array(row[k : k + (1 << 18)] + i)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(len(keys))), pa.array(tri[k : k + (1 << 18)])], [*keys, "tri"])
+                i = j
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", tri long")
 
 
 def trigram_stats(posts: DataFrame) -> DataFrame:
@@ -84,26 +106,41 @@ def clamp(requested: int) -> int:
 
 
 def cap(rows: DataFrame, order: list[str | Column], limit: int) -> tuple[DataFrame, bool]:
-    """The first rows of the order, and whether there are more; one row beyond the limit is looked at."""
+    """The first rows of the order, and whether there are more; the query runs once, and limit + 1 rows at most are kept."""
     probe = rows.orderBy(*order).limit(limit + 1)
-    kept = probe.limit(limit)
-    return kept, probe.count() > limit
+    found = probe.toArrow()
+    spark = rows.sparkSession
+    kept = spark.createDataFrame(found.slice(0, limit), probe.schema) if found.num_rows else spark.createDataFrame([], probe.schema)
+    return kept, found.num_rows > limit
 
 
 def whole_words(rows: DataFrame, size: int) -> DataFrame:
     return rows.filter(tx.whole_word(F.col("line_text"), F.col("col"), size))
 
 
+RAREST = 3  # trigrams of a probe that a candidate must hold before texts are compared
+
+
 def batch_contains(texts: DataFrame, probes: DataFrame, text_key: str, probe_key: str) -> DataFrame:
     """Which texts hold which probe texts literally: (probe_key, text_key).
 
-    Each probe is looked up by its rarest trigram only, so the join brings few
-    candidates per probe, and each is verified by containment.
+    Each probe is looked up by its rarest trigrams, ids only; pairs that hold
+    all of them are verified by containment.  Probes of one or two characters
+    have no trigram and are looked for in every text, as a set; empty probes
+    match nothing.
     """
-    grams = texts.select(text_key, F.explode(tx.trigrams("text")).alias("tri"))
-    wanted = probes.filter(F.length("text") >= 3).select(probe_key, F.explode(tx.trigrams("text")).alias("tri"))
+    grams = postings(texts.select(text_key, "text"), [text_key])
+    wanted = postings(probes.select(probe_key, "text"), [probe_key])
     freq = grams.join(wanted.select("tri").distinct(), "tri", "left_semi").groupBy("tri").agg(F.count("*").alias("df"))
-    scored = wanted.join(freq, "tri", "left").groupBy(probe_key).agg(F.min_by("tri", F.struct(F.coalesce("df", F.lit(0)), "tri")).alias("tri"))
-    pairs = scored.join(grams, "tri").select(probe_key, text_key)
+    order = Window.partitionBy(probe_key).orderBy("df", "tri")
+    scored = wanted.join(freq, "tri", "left").select(probe_key, "tri", F.coalesce("df", F.lit(0)).alias("df"))
+    rare = scored.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= RAREST)
+    held = rare.join(grams, "tri").groupBy(probe_key, text_key).agg(F.count("*").alias("_n"))
+    asked = rare.groupBy(probe_key).agg(F.count("*").alias("_k"))
+    pairs = held.join(asked, probe_key).filter(F.col("_n") == F.col("_k")).select(probe_key, text_key)
+    short = probes.filter(F.length("text").isin(1, 2)).select(probe_key, F.col("text").alias("_short"))
+    pieces = F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda i, n=n: F.substring(F.col("text"), i, F.lit(n))) for n in (1, 2)])))
+    spread = texts.filter(F.length("text") > 0).select(text_key, F.explode(pieces).alias("_short"))
+    found = short.join(spread, "_short").select(probe_key, text_key)
     full = pairs.join(probes.select(probe_key, F.col("text").alias("_probe")), probe_key).join(texts.select(text_key, F.col("text").alias("_text")), text_key)
-    return full.filter(F.contains("_text", F.col("_probe"))).select(probe_key, text_key)
+    return full.filter(F.contains("_text", F.col("_probe"))).select(probe_key, text_key).union(found)

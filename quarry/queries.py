@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fixture
+from . import codeset
 from .functions import paths as ps
 from .functions import text as tx
 from .operators import blocks, changes, refs, report, search, stats, symbols
@@ -68,6 +68,9 @@ VIEWS = {
 }
 
 
+VIEWS |= codeset.VIEWS
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     pick = lambda names, m: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % m + 1).cast("int"))
@@ -213,7 +216,7 @@ def whole_word_hits(spark, sf_dir):
     """
 WITH w AS (SELECT path, line, col, line_text AS t, length(line_text) AS n, greatest(col - 121, 0) AS b FROM found),
 e AS (SELECT *, least(n, greatest(b + 300, col + 3)) AS e FROM w)
-SELECT path, line, col, CASE WHEN n <= 300 THEN t ELSE (CASE WHEN b > 0 THEN '…' ELSE '' END) || substr(t, b + 1, e - b) || (CASE WHEN e < n THEN '…' ELSE '' END) || ' [line is ' || format('{:,}', n) || ' chars; search nearby text instead of reading it]' END AS shown,
+SELECT path, line, col, CASE WHEN n <= 300 THEN t ELSE (CASE WHEN b > 0 THEN '…' ELSE '' END) || substr(t, b + 1, e - b) || (CASE WHEN e < n THEN '…' ELSE '' END) || ' (part of ' || format('{:,}', n) || ' characters in this line)' END AS shown,
 (CASE WHEN n <= 300 THEN 0 ELSE b - (CASE WHEN b > 0 THEN 1 ELSE 0 END) END)::INTEGER AS shift FROM e
 """
 )
@@ -229,7 +232,7 @@ def answer_lines(spark, sf_dir):
     return h.select(F.concat(place, F.lit(":"), F.col("line").cast("string"), F.lit(":"), F.col("col").cast("string"), F.lit(": "), tx.scrub(F.col("line_text"))).alias("answer"))
 
 
-@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) >= 3")
+@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) > 0")
 def benchmark_containment(spark, sf_dir):
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     return search.batch_contains(read("documents").select("doc_id", "text"), read("benchmark").select("item_id", "text"), "doc_id", "item_id")
@@ -561,9 +564,9 @@ def dedup_precedence(spark, sf_dir):
     return refs.merge_layers(first, second, ["path", "line", "col"])
 
 
-@query("WITH l AS (SELECT root, list(path ORDER BY lower(path), path) AS p FROM files GROUP BY root) SELECT root, array_to_string(p[1:5], ', ') || CASE WHEN len(p) > 5 THEN ', +' || (len(p) - 5) || ' more' ELSE '' END AS shown FROM l")
+@query("WITH l AS (SELECT root, list(path ORDER BY lower(path), path) AS p FROM files GROUP BY root) SELECT root, array_to_string(p[1:5], ', ') || CASE WHEN len(p) > 5 THEN ', +' || (len(p) - 5) || ' more' ELSE '' END AS shown, len(p) AS n FROM l")
 def file_list_note(spark, sf_dir):
-    return files(spark, sf_dir).groupBy("root").agg(refs.file_list(F.collect_list("path")).alias("shown"))
+    return refs.file_list(files(spark, sf_dir).select("root", "path"), ["root"])
 
 
 @query("WITH l AS (SELECT path, CASE WHEN col % 2 = 0 THEN 'first' ELSE 'second' END AS layer FROM found) SELECT layer, count(*) AS n, count(DISTINCT path) AS files FROM l GROUP BY layer")
@@ -610,7 +613,21 @@ def misplaced_hits(spark, sf_dir):
 
 @query("SELECT path, unnest(list_transform(range(1, len(string_split(text, 'tion'))), lambda k: list_sum(list_transform(string_split(text, 'tion')[1:k], lambda x: length(x))) + 4 * (k - 1)))::BIGINT AS start FROM files WHERE contains(text, 'tion')")
 def block_prune(spark, sf_dir):
-    return blocks.block_hits(blocks.blocks(files(spark, sf_dir), 2048), "tion").select("path", "start")
+    b = blocks.blocks(files(spark, sf_dir), 2048, 64)
+    return blocks.block_hits(b, blocks.filters(b), "tion", 64).select("path", "start")
+
+
+@query("SELECT path, line, col FROM found")
+def block_search(spark, sf_dir):
+    b = blocks.blocks(files(spark, sf_dir), 2048, 64)
+    return blocks.block_lines(b, blocks.filters(b), "the", seam=64).select("path", "line", "col")
+
+
+@query("SELECT path, count(*) AS lines FROM lines WHERE contains(upper(line_text), 'AND') GROUP BY path")
+def block_search_icase(spark, sf_dir):
+    b = blocks.blocks(files(spark, sf_dir), 2048, 64)
+    found = blocks.block_lines(b, blocks.filters(b), "and", False, 64)
+    return found.groupBy("path").agg(F.count_distinct("line").alias("lines"))
 
 
 @query("SELECT path, count(*) AS lines FROM lines GROUP BY path")
@@ -620,56 +637,144 @@ def block_start_lines(spark, sf_dir):
     return b.groupBy("path").agg(F.max(last)["n"].cast("long").alias("lines"))
 
 
-# code, over a generated corpus
+# code: every document as a source file
 
 
-@query()
+def code(spark, sf_dir):
+    return codeset.corpus(spark, sf_dir)
+
+
+@query("SELECT root, path, name, kind, line, col, end_line FROM symbols")
 def symbols_extract(spark, sf_dir):
-    return symbols.extract(fixture.corpus(spark))
+    return symbols.extract(code(spark, sf_dir))
+
+
+@query("SELECT root, path, caller, name, line, col, seq, inactive FROM calls")
+def calls_extract(spark, sf_dir):
+    return symbols.calls(code(spark, sf_dir))
+
+
+@query("SELECT root, path, sl, sc, el, ec FROM spans")
+def comment_spans(spark, sf_dir):
+    return symbols.spans(code(spark, sf_dir))
 
 
-@query()
+@query("SELECT regexp_extract(path, '\\.[^.]+$') AS ext, count(DISTINCT path) AS files, count(*) AS symbols FROM symbols GROUP BY 1")
 def symbols_per_extension(spark, sf_dir):
-    return report.symbols_per_extension(symbols.extract(fixture.corpus(spark)))
+    return report.symbols_per_extension(symbols.extract(code(spark, sf_dir)))
 
 
-@query()
+@query("SELECT c.name, count(*) AS uses FROM calls c WHERE c.name IN (SELECT name FROM symbols) GROUP BY 1 ORDER BY uses DESC, c.name LIMIT 10")
 def broad_names(spark, sf_dir):
-    f = fixture.corpus(spark)
+    f = code(spark, sf_dir)
     return report.broad_names(symbols.extract(f), symbols.calls(f))
 
 
-@query()
+@query("SELECT root, path, name, kind, line, col, end_line, path || ':' || line || CASE WHEN end_line > line THEN '-' || end_line ELSE '' END || ':' || col || ': ' || kind || ' ' || name AS location FROM symbols WHERE name = 'f7'")
 def definitions(spark, sf_dir):
-    return symbols.location(symbols.by_name(symbols.extract(fixture.corpus(spark)), "compute_0"))
+    return symbols.location(symbols.by_name(symbols.extract(code(spark, sf_dir)), "f7"))
 
 
-@query()
+@query("SELECT root, path, name, kind, line, col, end_line, false AS generated FROM symbols WHERE contains(upper(name), 'F1')")
 def symbols_matching(spark, sf_dir):
-    return symbols.matching(symbols.extract(fixture.corpus(spark)), "COMPUTE").orderBy("generated", "path", "line", "col").limit(50)
+    return symbols.matching(symbols.extract(code(spark, sf_dir)), "f1")
 
 
-@query()
+@query("SELECT root, path, line, col, false AS capped, 'name' AS layer FROM uses WHERE name = 'f7'")
 def references_by_name(spark, sf_dir):
-    f = fixture.corpus(spark)
-    return refs.references(f, symbols.extract(f), symbols.spans(f), "compute_0")
+    f = code(spark, sf_dir).drop("doc_id")
+    return refs.references(f, symbols.extract(f), symbols.spans(f), "ns::f7").drop("line_text")
+
 
+@query("SELECT path, count(*) AS n FROM uses WHERE name = 'f7' GROUP BY path")
+def references_per_file(spark, sf_dir):
+    f = code(spark, sf_dir).drop("doc_id")
+    return refs.references(f, symbols.extract(f), symbols.spans(f), "f7").groupBy("path").agg(F.count("*").alias("n"))
 
-@query()
+
+@query(
+    """
+WITH own AS (SELECT name, bool_and(inactive) AS off, min({'root': root, 'path': path, 'seq': seq}) AS at FROM calls WHERE caller = 'f7' GROUP BY name)
+SELECT 'f7' AS caller, o.name, s.root, s.path, s.line, s.col, CASE WHEN o.off THEN 'inactive_branch' ELSE 'name' END AS how, o.at.seq AS seq, o.at.path AS caller_path
+FROM own o JOIN symbols s ON s.name = o.name AND s.kind IN ('Method', 'Function')
+"""
+)
 def callees_by_name(spark, sf_dir):
-    f = fixture.corpus(spark)
-    return refs.callees(symbols.calls(f), symbols.extract(f), "compute_1")
+    f = code(spark, sf_dir)
+    return refs.callees(symbols.calls(f), symbols.extract(f), "f7")
 
 
-@query()
-def comment_spans(spark, sf_dir):
-    return symbols.spans(fixture.corpus(spark))
+@query("SELECT DISTINCT caller, name, inactive FROM calls WHERE inactive")
+def inactive_calls(spark, sf_dir):
+    return symbols.calls(code(spark, sf_dir)).filter("inactive").select("caller", "name", "inactive").distinct()
+
+
+@query("SELECT 'f' || (doc_id % 50) AS name, count(*) AS n FROM code WHERE doc_id % 7 <> 6 GROUP BY 1")
+def definition_counts(spark, sf_dir):
+    found = symbols.extract(code(spark, sf_dir)).filter(F.col("kind").isin("Function", "Method") & F.col("name").rlike("^f[0-9]+$") & ~F.col("path").endswith(".cmm"))
+    return found.groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT root, path, 'conditional' AS reason FROM code WHERE doc_id % 7 = 1 UNION ALL SELECT root, path, 'clash' FROM code WHERE doc_id % 7 = 1 AND doc_id % 3 = 0")
+def incomplete_files(spark, sf_dir):
+    f = code(spark, sf_dir)
+    f = f.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\nusing X = System.Text;\n"))).otherwise(F.col("text")))
+    return refs.incompleteness(f, f.select("root", "path"))
+
 
+@query("SELECT root, path, line, col, doc_id % 4 = 0 AS stale FROM (SELECT s.*, c.doc_id FROM uses s JOIN code c USING (root, path)) WHERE name = 'f7'")
+def stale_hits(spark, sf_dir):
+    f = code(spark, sf_dir)
+    rows = refs.references(f.drop("doc_id"), symbols.extract(f), symbols.spans(f), "f7").select("root", "path", "line", "col")
+    now = f.withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.lit("gone")).otherwise(F.col("text")))
+    return refs.outside_spans_or_stale(rows, symbols.spans(now), now, "f7")
 
-@query()
+
+@query(
+    r"""
+SELECT path, 'A.B' || doc_id % 3 AS name FROM files WHERE doc_id % 6 = 0 UNION ALL SELECT path, 'C' FROM files WHERE doc_id % 6 = 0
+"""
+)
+def global_usings(spark, sf_dir):
+    f = files(spark, sf_dir)
+    mark = F.concat(F.lit('<Project>\n<Using Include="A.B'), (F.col("doc_id") % 3).cast("string"), F.lit('" />\n<using Static="x"\n include = "C"/> '))
+    return report.global_usings(f.withColumn("text", F.when(F.col("doc_id") % 6 == 0, F.concat(mark, "text")).otherwise(F.col("text")))).select("path", "name")
+
+
+_QUALIFIED = ["Widget::spin", "std::vector<std::string>", "operator<<", "A::operator<<", "plain", "ns::T<a>::f", "a::b<c::d<e>>::g<h>"]
+_MEMBERS = ["spin", "vector", "operator<<", "operator<<", "plain", "f", "g"]
+
+
+@query(f"SELECT doc_id, ({_MEMBERS})[doc_id % 7 + 1] AS member FROM documents")
+def qualified_members(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = {n: refs.member_of_qualified(n) for n in _QUALIFIED}
+    pick = F.element_at(F.array(*[F.lit(n) for n in _QUALIFIED]), (F.col("doc_id") % 7 + 1).cast("int"))
+    return d.select("doc_id", F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), pick).alias("member"))
+
+
+# ignore files
+
+GITIGNORE = {"": "*.json\n!*/docs/**/1*.json\nnode_modules/\n/src1/b*n/\n", "src2": "*.md\n"}
+CLASSES = {"": "# odd\nsrc[0-2]/l?b/\n[!1-4]*.c\n!**/en/*.c\n\\!x\n", "src0/docs": "/en\n**/5*.py\n"}
+
+
+@query(
+    r"""
+SELECT path FROM files WHERE NOT (path LIKE '%/node\_modules/%' ESCAPE '\' OR path LIKE 'src1/bin/%' OR (path LIKE '%.json' AND NOT regexp_matches(path, '^[^/]+/docs/(.*/)?1[^/]*\.json$')) OR (path LIKE 'src2/%' AND path LIKE '%.md'))
+"""
+)
 def gitignore_eval(spark, sf_dir):
-    rules = {"": ignore.parse("*.json\n!*/docs/**/1*.json\nnode_modules/\n/src1/b*n/\n"), "src2": ignore.parse("*.md\n")}
-    return ignore.not_ignored(files(spark, sf_dir).select("path"), rules)
+    return ignore.not_ignored(files(spark, sf_dir).select("path"), {k: ignore.parse(v) for k, v in GITIGNORE.items()})
+
+
+@query(
+    r"""
+SELECT path FROM files WHERE NOT (regexp_matches(path, '^src[0-2]/l.b/') OR (regexp_matches(path, '/[^1-4/][^/]*\.c$') AND NOT regexp_matches(path, '/en/[^/]*\.c$')) OR path LIKE 'src0/docs/en/%' OR regexp_matches(path, '^src0/docs/.*/5[^/]*\.py$'))
+"""
+)
+def gitignore_classes(spark, sf_dir):
+    return ignore.not_ignored(files(spark, sf_dir).select("path"), {k: ignore.parse(v) for k, v in CLASSES.items()})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
