@@ -14,15 +14,34 @@ from pyspark.sql import functions as F
 
 from .functions import paths as ps
 from .functions import text as tx
-from .operators import changes, refs, search, symbols
-from .plans.index import Index
+from .operators import blocks, changes, refs, search, symbols
+from .plans.index import FORMAT, Index
 from .plans.ship import ship
+from .plans.storage import materialize
 from .sources import tree
 
 SEARCH_CAP, REFERENCE_CAP, CALLEE_CAP, SYMBOL_CAP, DEFINITION_CAP = 50, 100, 50, 50, 50
 INLINE_LINES = 40
 
 
+AUTO_LIMIT = 100 << 20  # bytes of text that are brought up to date without being asked
+
+# Folders that no index may take in.
+SENSITIVE = "/ /bin /boot /dev /etc /lib /proc /root/.ssh /run /sbin /sys /usr /var".split()
+
+
+def refused_link(path: str, roots: list[str], index: str) -> str | None:
+    """Why a folder can't be a root: a system folder, the index itself, or one that holds or lies in another root."""
+    p = path.rstrip("/") or "/"
+    bare = p.removeprefix("file://")
+    if bare in SENSITIVE or "/../" in bare + "/" or bare.rsplit("/", 1)[-1].lower() in (".ssh", ".gnupg", ".aws"):
+        return f"{path} is a system or secret folder"
+    for other, what in [(r, "another root") for r in roots] + [(index.removeprefix("file://"), "the index")]:
+        if p == other or p.startswith(other + "/") or other.startswith(p.rstrip("/") + "/"):
+            return f"{path} is, holds or lies in {what}: {other}"
+    return None
+
+
 class Answer(NamedTuple):
     rows: DataFrame
     notes: DataFrame
@@ -59,7 +78,7 @@ class Engine:
         named = lambda df: df.select(F.to_json(F.struct("root", "path")).alias("path"), F.upper(F.md5("text")).alias("content_hash"))
         diff = changes.snapshot_diff(named(self.index.table("files")), named(new))
         key = F.from_json("path", "root string, path string")
-        diff = diff.select(key["root"].alias("root"), key["path"].alias("path"), "change").persist()
+        diff = materialize(diff.select(key["root"].alias("root"), key["path"].alias("path"), "change"), "changes", small=True)
         n = diff.count()
         if n > changes.REBUILD_OVER:
             self.index.build(new)
@@ -69,10 +88,33 @@ class Engine:
             self.index.apply(changed.select([c for c in columns if c in changed.columns]), diff.filter("change = 'removed'").select("root", "path"))
         return diff
 
+    def reconcile(self, limit: int = AUTO_LIMIT, force: bool = False) -> DataFrame | None:
+        """At start: one update if the trees hold no more text than limit, else None and a note that answers may be behind."""
+        total = 0
+        for root in self.roots:
+            total += tree.listing(self.spark, root).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        if total > limit and not force:
+            self.index.mark_stale(f"{total} bytes of text weren't compared at start: the limit is {limit}")
+            return None
+        return self.update()
+
+    def cancellable(self, tag: str) -> Engine:
+        """Jobs that this thread starts from now on carry tag; cancel(tag) ends them."""
+        self.spark.addTag(tag)
+        return self
+
+    def cancel(self, tag: str) -> None:
+        self.spark.interruptTag(tag)
+        self.spark.removeTag(tag)
+
     # answers
 
     def _notes(self, rows: list[tuple[str, str, int]]) -> DataFrame:
         rows = list(rows)
+        m = self.index.manifest()
+        rows += [("stale", reason, 0) for reason in m.get("stale", [])]
+        if m["segments"] and m.get("format") != FORMAT:
+            rows.append(("stale", "the index was built by another version of this engine: build() renews it", 0))
         if self.focused:
             rows.append(("scoped", "only roots in focus were asked: " + ", ".join(self.focused), len(self.focused)))
         return self.spark.createDataFrame(rows, "code string, message string, n long")
@@ -106,11 +148,22 @@ class Engine:
         if not query.strip() or len(query) < tx.MIN_QUERY:
             text = "the query is empty" if not query.strip() else f"a query has at least {tx.MIN_QUERY} characters"
             return Answer(search.hits(files, "").limit(0), self._notes([("refused", text, 0)]))
-        rows = search.indexed_hits(files, self._table("postings"), query, case_sensitive)
+        rows = self._hits(files, query, case_sensitive)
         shown = tx.snippet(F.col("line_text"), F.col("col"), len(query))
         rows = rows.withColumn("text_offset", tx.snippet_offset(F.col("line_text"), F.col("col"))).withColumn("line_text", shown)
         return self._capped(rows, limit)
 
+    def _hits(self, files: DataFrame, query: str, case_sensitive: bool) -> DataFrame:
+        """Candidates by the postings; of large files only the blocks whose filters may hold the query are read."""
+        chosen = search.candidates(self._table("postings"), query, case_sensitive)
+        seam = blocks.SEAM
+        if "\n" in query or len(query) > seam + 1:
+            return search.hits(files.join(chosen, ["root", "path"], "left_semi"), query, case_sensitive)
+        large = self._table("filters").select("root", "path").distinct()
+        small = files.join(chosen, ["root", "path"], "left_semi").join(large, ["root", "path"], "left_anti")
+        cut = self._table("blocks").join(chosen, ["root", "path"], "left_semi").join(files.select("root", "path"), ["root", "path"], "left_semi")
+        return search.hits(small, query, case_sensitive).unionByName(blocks.block_lines(cut, self._table("filters"), query, case_sensitive))
+
     def definitions(self, name: str) -> Answer:
         """Exact, case-sensitive; a single short definition comes with its source."""
         rows = symbols.location(symbols.by_name(self._table("symbols"), name)).withColumn("source", F.lit(None).cast("string"))
@@ -153,18 +206,23 @@ class Engine:
     # links
 
     def links(self, action: str = "list", path: str | None = None) -> DataFrame:
-        """list, add or remove roots, or focus answers on those a token names (an empty token ends that)."""
+        """list, add or remove roots, purge one with its rows, or focus answers on those a token names (an empty token ends that)."""
         if action == "add" and path and path.rstrip("/") not in self.roots:
+            if reason := refused_link(path, self.roots, self.index.folder):
+                raise ValueError(reason)
             self.roots.append(path.rstrip("/"))
-        elif action == "remove" and path:
+        elif action in ("remove", "purge") and path:
+            if action == "purge" and self.index.manifest()["segments"]:
+                gone = self.index.table("files").filter(F.col("root") == path.rstrip("/")).select("root", "path")
+                self.index.apply(self.index.table("files").limit(0), gone)
             self.roots = [r for r in self.roots if r != path.rstrip("/")]
             self.focused = [r for r in self.focused if r in self.roots]
         elif action == "focus":
             every = self.spark.createDataFrame([(r,) for r in self.roots], "root string")
             self.focused = [r["root"] for r in refs.focus(every, path or "").collect()] if path else []
         elif action != "list":
-            raise ValueError("action is list, add, remove or focus")
-        if action in ("add", "remove"):
+            raise ValueError("action is list, add, remove, purge or focus")
+        if action in ("add", "remove", "purge"):
             self.index._put(f"{self.index.folder}/links.json", json.dumps(self.roots))
         rows = [(r, i == 0, r in self.focused) for i, r in enumerate(self.roots)]
         return self.spark.createDataFrame(rows, "root string, is_primary boolean, focused boolean")

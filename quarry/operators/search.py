@@ -20,8 +20,8 @@ PER_FILE = 64
 PART = 4 << 20  # bytes of text whose trigrams are formed at once
 
 
-def postings(files: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(keys..., tri): one row per file and distinct trigram; rows of one file stay one file's (keys are unique)."""
+def postings(files: DataFrame, keys: list[str] | None = None, only: list[int] | None = None) -> DataFrame:
+    """(keys..., tri): one row per file and distinct trigram, or per wanted one with only; keys are unique."""
     keys = keys or ["root", "path"]
     rows = files.select(*keys, "text")
 
@@ -31,7 +31,7 @@ def postings(files: DataFrame, keys: list[str] | None = None) -> DataFrame:
             size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
             while i < batch.num_rows:
                 j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + PART, "right")))
-                row, tri = tx.trigram_rows(texts.slice(i, j - i))
+                row, tri = tx.trigram_rows(texts.slice(i, j - i), only)
                 for k in range(0, len(tri), 1 << 18):
                     at = pa.array(row[k : k + (1 << 18)] + i)
                     yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(len(keys))), pa.array(tri[k : k + (1 << 18)])], [*keys, "tri"])
@@ -93,6 +93,11 @@ def indexed_hits(files: DataFrame, posts: DataFrame, query: str, case_sensitive:
     return hits(files.join(chosen, keys, "left_semi"), query, case_sensitive, keys)
 
 
+def query_keys(query: str, case_sensitive: bool = True) -> list[int]:
+    """All trigram keys that a query asks for."""
+    return sorted({k for g in tx.query_groups(query, case_sensitive) for k in g})
+
+
 def per_file_cap(rows: DataFrame, cap: int = PER_FILE, keys: list[str] | None = None) -> DataFrame:
     """At most cap rows per file by line and column, and whether the file had more."""
     keys = keys or ["root", "path"]

@@ -20,6 +20,7 @@ from . import codeset
 from .functions import paths as ps
 from .functions import text as tx
 from .operators import blocks, changes, refs, report, search, stats, symbols
+from .plans.storage import materialize
 from .sources import ignore
 
 EXTENSIONS = [".py", ".c", ".md", ".json", ".designer.cs"]
@@ -124,7 +125,7 @@ def search_literal(spark, sf_dir):
 @query("SELECT path, line, col, line_text FROM found")
 def search_indexed(spark, sf_dir):
     f = files(spark, sf_dir)
-    return search.indexed_hits(f, search.postings(f), "the").select("path", "line", "col", "line_text")
+    return search.indexed_hits(f, search.postings(f, only=search.query_keys("the")), "the").select("path", "line", "col", "line_text")
 
 
 @query(
@@ -183,7 +184,7 @@ def search_multiline(spark, sf_dir):
 
 @query("SELECT path FROM files WHERE contains(text, 'tha') AND contains(text, 'hat')")
 def candidate_files(spark, sf_dir):
-    return search.candidates(search.postings(files(spark, sf_dir)), "that").select("path")
+    return search.candidates(search.postings(files(spark, sf_dir), only=search.query_keys("that")), "that").select("path")
 
 
 @query("SELECT tri, count(*) AS df FROM grams GROUP BY tri")
@@ -613,8 +614,8 @@ def misplaced_hits(spark, sf_dir):
 
 @query("SELECT path, unnest(list_transform(range(1, len(string_split(text, 'tion'))), lambda k: list_sum(list_transform(string_split(text, 'tion')[1:k], lambda x: length(x))) + 4 * (k - 1)))::BIGINT AS start FROM files WHERE contains(text, 'tion')")
 def block_prune(spark, sf_dir):
-    b = blocks.blocks(files(spark, sf_dir), 2048, 64)
-    return blocks.block_hits(b, blocks.filters(b), "tion", 64).select("path", "start")
+    b = materialize(blocks.blocks(files(spark, sf_dir), 2048, 64), "blocks")
+    return blocks.block_hits(b, materialize(blocks.filters(b), "filters"), "tion", 64).select("path", "start")
 
 
 @query("SELECT path, line, col FROM found")

@@ -15,7 +15,7 @@ from quarry.engine import Engine
 from quarry.functions import text as tx
 from quarry.operators import blocks, changes, lexing, refs, report, search, stats, symbols
 from quarry.plans import storage
-from quarry.plans.index import Index
+from quarry.plans.index import Conflict, Index
 from quarry.sources import ignore, tree
 from quarry.streaming import watch
 
@@ -30,18 +30,17 @@ def brute(files, q):
     return sorted(out)
 
 
-@pytest.fixture(scope="module")
-def corpus(spark):
-    rnd = random.Random(1234)
-    rows = [(f"f{i}", "".join(rnd.choice("abcde \n") for _ in range(rnd.randrange(400)))) for i in range(40)]
-    return rows, spark.createDataFrame([("r", p, t) for p, t in rows], "root string, path string, text string").cache()
+PIECES = st.sampled_from(["ab", "ba", "a", "b", " ", "\n", "\r\n", "é", "𝄞", "ab\nab", "aaaa", "\t"])
 
 
-@pytest.mark.parametrize("q", ["abc", "aaa", "a b", "ede", "b\nc", "dddd", "e a"])
-def test_search_equals_brute_force(spark, corpus, q):
-    rows, df = corpus
-    want = brute(rows, q)
-    for got in (search.hits(df, q), search.indexed_hits(df, search.postings(df), q)):
+@settings(max_examples=6, deadline=None)
+@given(texts=st.lists(st.lists(PIECES, max_size=40).map("".join), min_size=1, max_size=8), asked=st.lists(PIECES, min_size=1, max_size=3).map("".join))
+def test_search_equals_brute_force(spark, texts, asked):
+    rows = [(str(i), t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([("r", p, t) for p, t in rows], "root string, path string, text string")
+    want = brute(rows, asked) if asked.strip() else []
+    sides = [search.hits(df, asked)] + ([search.indexed_hits(df, search.postings(df), asked)] if len(asked) > 2 else [])
+    for got in sides:
         assert sorted((r["path"], r["line"], r["col"]) for r in got.collect()) == want
 
 
@@ -68,7 +67,7 @@ def test_snippets(spark):
     long = "a" * 500 + "needle" + "b" * 500
     df = spark.createDataFrame([(long, 501), ("x\u202eneedle", 3)], "line string, col int")
     got = df.select(tx.snippet(F.col("line"), F.col("col"), 6).alias("s"), tx.snippet_offset(F.col("line"), F.col("col")).alias("o")).collect()
-    assert got[0]["s"].startswith("…" + "a" * 120 + "needle") and got[0]["s"].endswith("…" + " [line is 1,006 chars; search nearby text instead of reading it]")
+    assert got[0]["s"].startswith("…" + "a" * 120 + "needle") and got[0]["s"].endswith("…" + " (part of 1,006 characters in this line)")
     assert got[0]["s"][501 - 1 - got[0]["o"] :].startswith("needle")
     assert got[1]["s"] == "x·needle"
 
@@ -79,20 +78,22 @@ def test_blocks_find_matches_over_cuts(spark):
     want = [m.start() for m in re.finditer("needle", text)]
     for size in (7, 64, 1205, 5000):
         b = blocks.blocks(df, size, 32)
-        assert sorted(r["start"] for r in blocks.block_hits(b, "needle").collect()) == want
+        assert sorted(r["start"] for r in blocks.block_hits(b, blocks.filters(b), "needle", 32).collect()) == want
+        for folded in (False, True):
+            lines = blocks.block_lines(b, blocks.filters(b), "NEEDLE" if folded else "needle", not folded, 32)
+            assert sorted((r["line"], r["col"]) for r in lines.collect()) == sorted(x[1:] for x in brute([("p", text)], "needle"))
     b = blocks.blocks(df, 64, 16)
-    assert blocks.pruned(b, "needle").count() < b.count()
+    assert blocks.pruned(blocks.filters(b), "needle", seam=16).count() < b.count()
 
 
 def test_blocks_refuse_queries_beyond_the_seam(spark):
     query = "n" * 40
     df = spark.createDataFrame([("r", "p", "x" * 60 + query + "x" * 60)], "root string, path string, text string")
-    assert blocks.block_hits(blocks.blocks(df, 64, 39), query, 39).first()["start"] == 60
-    for find in (blocks.block_hits, blocks.pruned):
+    b = blocks.blocks(df, 64, 39)
+    assert blocks.block_hits(b, blocks.filters(b), query, 39).first()["start"] == 60
+    for asked, seam in ((query, 32), ("n" * (blocks.SEAM + 2), blocks.SEAM)):
         with pytest.raises(ValueError):
-            find(blocks.blocks(df, 64, 32), query, seam=32)
-        with pytest.raises(ValueError):
-            find(blocks.blocks(df, 64), "n" * (blocks.SEAM + 2))
+            blocks.pruned(blocks.filters(b), asked, seam=seam)
 
 
 def test_ignore_rules():
@@ -190,6 +191,8 @@ def test_tree(spark, tmp_path):
     os.symlink(tmp_path / "src/a.py", tmp_path / "src/link.py")
     got = {r["path"]: r["text"] for r in tree.read_tree(spark, str(tmp_path)).collect()}
     assert got == {"src/a.py": "def f(): pass\n", "src/u16.txt": "hé", ".gitignore": "*.tmp\n"}
+    assert {r["path"] for r in tree.read_tree(spark, str(tmp_path), under="src").collect()} == {"src/a.py", "src/u16.txt"}
+    assert tree.dropped(spark, str(tmp_path)).count() == 0
     assert tree.load_config('{"a": 1, // x\n "b": "//", }', {"QUARRY_MAX_FILE_MB": "3"}) == {"a": 1, "b": "//", "maxFileMb": "3"}
 
 
@@ -234,8 +237,16 @@ def test_pointer_recovers(spark, tmp_path):
     index = Index(spark, str(tmp_path / "i"))
     index.build(fixture.corpus(spark, 2))
     n = index.table("files").count()
-    (tmp_path / "i/CURRENT").unlink()
+    (tmp_path / "i/manifest-000000009.json").write_text("{ cut off")
     assert Index(spark, str(tmp_path / "i")).table("files").count() == n
+    with pytest.raises(Conflict):  # a second writer from the same version
+        index._publish({"segments": []}, {"version": 0})
+    index.lock("a", now=1000.0)
+    with pytest.raises(Conflict):
+        index.lock("b", now=1100.0)
+    index.lock("b", now=1700.0)  # the first one fell silent
+    index.unlock("b")
+    index.lock("c")
 
 
 def test_stream_equals_rebuild(spark, tmp_path):
