@@ -9,7 +9,7 @@ miss the target by no more than about one largest document.  One offset per
 source, drawn from the seed and the source's name, is added, and a document is
 emitted once per integer boundary its span of the prefix sum crosses.
 
-Defined results: a null or empty text has size 0 and takes 0 words; a null
+Defined results: texts of any length are counted whole; a null or empty text has size 0 and takes 0 words; a null
 source is one source of its own; repeated rows count and are placed one by
 one; an empty table gives an empty result; other columns are left alone.
 """

@@ -10,8 +10,10 @@ number per partition), and a second pass writes the offsets.  A lost or
 repeated task leaves only files that the manifest doesn't name.
 
 Defined results: a null or empty text holds only the end id; a null doc_id
-sorts first and is stored as the least 64-bit integer; repeated doc ids stand
-side by side; an empty table gives a manifest without parts.
+sorts first and is marked in ``NAME.nulls`` (one byte a document, only where
+there are any), so every 64-bit id reads back as itself; repeated doc ids stand
+side by side; texts of any length are encoded whole; other columns aren't
+read; an empty table gives a manifest without parts.
 """
 
 from __future__ import annotations
@@ -121,7 +123,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 1
         tool, part = encoder(path), TaskContext.get().partitionId()
         name, kind = f"part-{part:06d}-{uuid.uuid4().hex[:12]}", f"<u{encoder(path).width}"
         fs_, base = store(folder)
-        counts, ids, out = [], [], None
+        counts, ids, nulls, out = [], [], [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -131,11 +133,14 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 1
                 out.write(flat.astype(kind).tobytes())
                 counts.append(n)
             ids.append(np.asarray(batch.column(0).fill_null(NO_ID), "<i8"))
+            nulls.append(np.asarray(batch.column(0).is_null()))
         if out:
             out.close()
             counts = np.concatenate(counts)
             _put(folder, f"{name}.counts", counts.astype("<u8").tobytes())
             _put(folder, f"{name}.docs", np.concatenate(ids).tobytes())
+            if np.concatenate(nulls).any():
+                _put(folder, f"{name}.nulls", np.concatenate(nulls).astype("u1").tobytes())
             yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "n_docs": [len(counts)], "n_tokens": [int(counts.sum())]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
@@ -151,6 +156,9 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 1
                 counts = mapped(folder, f"{r['name']}.counts", "<u8")
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype("<u8") + np.uint64(r["base"])
                 _put(folder, f"{r['name']}.offsets", offsets.tobytes())
+                del counts
+                at, base = store(folder)
+                at.delete_file(f"{base}/{r['name']}.counts")
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
 
     if listed:
@@ -177,12 +185,15 @@ def read(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
             for r in batch.to_pylist():
                 ids, off, docs = (mapped(folder, f"{r['name']}.{x}", t) for x, t in (("ids", kind), ("offsets", "<u8"), ("docs", "<i8")))
                 off, base = off.astype(np.int64), int(off[0])
+                fs_, at = store(folder)
+                marked = fs_.get_file_info(f"{at}/{r['name']}.nulls").is_file
+                gone = mapped(folder, f"{r['name']}.nulls", "u1").astype(bool) if marked else np.zeros(len(docs), bool)
                 for i in range(0, len(docs), 4096):
                     j = min(i + 4096, len(docs))
                     own = off[i : j + 1] - base
                     part = np.asarray(ids[own[0] : own[-1]])
                     own = own - own[0]
-                    out = {"doc_id": pa.array(docs[i:j], mask=docs[i:j] == NO_ID), "start": off[i:j], "n_tokens": np.diff(own)}
+                    out = {"doc_id": pa.array(docs[i:j], mask=gone[i:j]), "start": off[i:j], "n_tokens": np.diff(own)}
                     if digest:
                         wide, b = part.astype("<u4").tobytes(), (own * 4).tolist()
                         out["ids_crc32"] = pa.array([zlib.crc32(wide[p:q]) for p, q in zip(b, b[1:])], pa.int64())

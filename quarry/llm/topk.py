@@ -5,21 +5,27 @@ the eigenvectors of their second moments (the SVD of all rows, from one
 aggregate of dim x dim exact sums), so the leading coordinates hold most of
 the length.  Candidates are range-partitioned and processed by descending
 length in blocks.  A query leaves a block when its threshold (its k-th best
-score so far) exceeds |q| times the block's largest length, and a candidate is
+score so far) exceeds |q| times the block's largest length.  A candidate is
 skipped when the partial sum over the leading coordinates plus the
-Cauchy-Schwarz bound on the rest, |q_rest| |c_rest|, stays below it.  What is
-left is scored exactly in integers; a tie with the threshold is never skipped.
-First thresholds come from the longest candidates of all.
-
-Queries pass in blocks of QUERY_BLOCK rows, each one bounded broadcast; every
-block is held against all candidates, and each task returns at most k rows a
-query, which a window ranks.
+Cauchy-Schwarz bound on the rest, |q_rest| |c_rest|, stays below it; the
+leading part widens step by step (16, 32, 48 ..) while many candidates are
+left.  What is left is scored exactly in integers; a tie with the threshold is
+never skipped.  First thresholds come from the longest candidates of all.
+
+Queries pass in waves of QUERY_BLOCK rows, each one bounded broadcast that is
+destroyed after it; every wave is held against all candidates, and each task
+writes at most k rows a query, which a window ranks.  ``counts`` reports how
+many pairs each bound has dropped.  Vectors of about one length and without a
+leading subspace leave the bounds little to drop: the work is then that of all
+pairs, in matrix products.
 
 Defined results: vectors that are null, empty, of another dimension than the
 most common one, or hold null or non-finite components take no part, nor do
 null ids; rows that share an id with the query are its own and no candidates;
-repeated ids of candidates count each; fewer candidates than k give fewer
-rows; no rows give an empty result.
+repeated ids of candidates count each; queries that share an id and differ in
+their vectors are searched each, and their candidates are ranked together;
+fewer candidates than k give fewer rows; no rows give an empty result; other
+columns are left alone.  Scores are exact as 64-bit integers.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, partitions
+from .common import materialize, partitions, scratch_path
 
 QUERY_BLOCK = 4096
 BLOCK = 1024
@@ -48,7 +54,7 @@ def integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
     rows = vectors.filter(F.coalesce(sound, F.lit(False)) & F.col("vec_id").isNotNull()).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v")
     )
-    return rows.withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x))
+    return rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
 def rotation(rows: DataFrame, dim: int) -> np.ndarray:
@@ -68,108 +74,140 @@ def rotation(rows: DataFrame, dim: int) -> np.ndarray:
 
 
 class Block:
-    """Queries of one block with what pruning needs."""
+    """Queries of one wave with what pruning needs."""
 
     def __init__(self, ids: np.ndarray, v: np.ndarray, turn: np.ndarray, head: int, k: int):
-        self.ids, self.v, self.k, self.head = ids, v, k, head
-        r = v @ turn
-        self.lead, self.rest = r[:, :head], np.sqrt(np.square(r[:, head:]).sum(1))
-        self.norm = np.sqrt(np.square(v).sum(1))
+        self.ids, self.whole, self.v, self.k, self.head = ids, v, v.astype(np.float64), k, head
+        self.turned = self.v @ turn
+        self.norm = np.sqrt(np.square(self.v).sum(1))
         self.floor = np.full(len(ids), -np.inf)
 
 
-def search(block: Block, chunks: Iterator[tuple[np.ndarray, np.ndarray]], turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tails(turned: np.ndarray, cuts: list[int]) -> list[np.ndarray]:
+    """The lengths of what each cut leaves out."""
+    square = np.square(turned)
+    return [np.sqrt(square[:, c:].sum(1)) for c in cuts]
+
+
+def search(block: Block, chunks: Iterator[tuple[np.ndarray, np.ndarray]], turn: np.ndarray, counts: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The best candidates (query index, id, score) of chunks that come by descending length."""
     k, nq = block.k, len(block.ids)
+    counts = counts if counts is not None else {}
     floor = block.floor.copy()
-    best_s = np.full((nq, k), -np.inf)
-    best_i = np.zeros((nq, k), np.int64)
-    for ids, v in chunks:
+    best_s = np.full((nq, k), np.iinfo(np.int64).min)
+    best_i, have = np.zeros((nq, k), np.int64), np.zeros((nq, k), bool)
+    cuts = list(range(block.head, len(turn), block.head))
+    q_tails = _tails(block.turned, cuts)
+    for ids, whole in chunks:
+        v = whole.astype(np.float64)
         norm = np.sqrt(np.square(v).sum(1))
         slack = 1e-6 * (1 + block.norm * norm.max())
         live = np.flatnonzero(block.norm * norm.max() + slack >= floor)
+        pairs = nq * len(ids)
+        counts["pairs"] = counts.get("pairs", 0) + pairs
+        counts["by_length"] = counts.get("by_length", 0) + pairs - len(live) * len(ids)
         if not len(live):
             continue
-        r = v @ turn
-        rest = np.sqrt(np.square(r[:, block.head :]).sum(1))
-        bound = block.lead[live] @ r[:, : block.head].T + np.outer(block.rest[live], rest) + slack[live][:, None]
-        a, b = np.nonzero(bound >= floor[live][:, None])
+        turned, least = v @ turn, (floor[live] - slack[live])[:, None]
+        partial, done = np.zeros((len(live), len(ids))), 0
+        left = np.ones(partial.shape, bool)
+        for cut, q_tail, tail in zip(cuts, q_tails, _tails(turned, cuts)):
+            if left.sum() < 0.2 * left.size:
+                break
+            partial += block.turned[live, done:cut] @ turned[:, done:cut].T
+            done = cut
+            left = partial + np.outer(q_tail[live], tail) >= least
+        a, b = np.nonzero(left)
+        counts["by_partial_sums"] = counts.get("by_partial_sums", 0) + left.size - len(a)
         if not len(a):
             continue
         q = live[a]
-        exact = np.einsum("ij,ij->i", block.v[q], v[b]) if len(a) < 0.2 * len(live) * len(v) else (block.v[live] @ v.T)[a, b]
+        if float(block.norm[live].max()) * float(norm.max()) < 2.0**52 and len(a) >= 0.2 * left.size:
+            score = np.rint((block.v[live] @ v.T)[a, b]).astype(np.int64)  # exact below 2**53
+        else:
+            score = np.concatenate([np.einsum("ij,ij->i", block.whole[q[i : i + 65536]], whole[b[i : i + 65536]]) for i in range(0, len(q), 65536)])
         own = block.ids[q] != ids[b]
-        q, c, s = q[own], ids[b][own], exact[own]
-        # merge with the best so far: per query by score, then smaller id
-        old = np.flatnonzero(np.isfinite(best_s[live]).any(1))
-        oq = np.repeat(live[old], k)
-        os_, oi = best_s[live[old]].ravel(), best_i[live[old]].ravel()
-        fin = np.isfinite(os_)
-        q, c, s = np.concatenate([q, oq[fin]]), np.concatenate([c, oi[fin]]), np.concatenate([s, os_[fin]])
+        q, c, s = q[own], ids[b][own], score[own]
+        # only what reaches the k-th best so far can change it
+        near = ~have[q, k - 1] | (s >= best_s[q, k - 1])
+        q, c, s = q[near], c[near], s[near]
+        oq, op = np.nonzero(have[live])
+        oq = live[oq]
+        q, c, s = np.concatenate([q, oq]), np.concatenate([c, best_i[oq, op]]), np.concatenate([s, best_s[oq, op]])
         order = np.lexsort((c, -s, q))
         q, c, s = q[order], c[order], s[order]
-        first = np.searchsorted(q, q)
-        place = np.arange(len(q)) - first
+        place = np.arange(len(q)) - np.searchsorted(q, q)
         top = place < k
-        best_s[np.unique(q)] = -np.inf
-        best_s[q[top], place[top]], best_i[q[top], place[top]] = s[top], c[top]
-        floor = np.maximum(floor, best_s[:, k - 1])
-    q, place = np.nonzero(np.isfinite(best_s))
+        q, c, s, place = q[top], c[top], s[top], place[top]
+        have[q] = False
+        have[q, place], best_s[q, place], best_i[q, place] = True, s, c
+        floor = np.maximum(floor, np.where(have[:, k - 1], best_s[:, k - 1].astype(np.float64), -np.inf))
+    q, place = np.nonzero(have)
     return q, best_i[q, place], best_s[q, place]
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, head: int = HEAD) -> DataFrame:
-    """Per query: query_id, rank (from 1), vec_id, score."""
+def _arrays(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(table["vec_id"]), np.asarray(table["v"].combine_chunks().flatten(), np.int64).reshape(-1, dim)
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, head: int = HEAD, wave: int = QUERY_BLOCK, counts: dict | None = None) -> DataFrame:
+    """Per query: query_id, rank (from 1), vec_id, score; counts, if given, gets the pairs and what each bound dropped of them."""
     spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score long"
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rows = materialize(integers(vectors), "integers")
     dims = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     if dims is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return empty
     dim = dims["dim"]
     rows = rows.filter(F.size("v") == dim)
     turn = rotation(rows, dim)
-    head = min(head, dim)
-    probe = rows.orderBy(F.desc("norm2"), "vec_id").limit(PROBE).select("vec_id", "v").toArrow()
-    probe_ids, probe_v = np.asarray(probe["vec_id"]), np.asarray(probe["v"].combine_chunks().flatten(), np.float64).reshape(-1, dim)
+    probe = _arrays(rows.orderBy(F.desc("norm2"), "vec_id").limit(PROBE).select("vec_id", "v").toArrow(), dim)
     near = rows.repartitionByRange(partitions(spark), F.desc("norm2")).sortWithinPartitions(F.desc("norm2")).select("vec_id", "v")
     near = materialize(near, "by_norm")
     queries = rows.filter(is_query)
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
-    found = None
-    for b in range(n_blocks):
-        own = queries.filter(F.col("block") == b).select("vec_id", "v").distinct().toArrow()
+    n_waves = max(1, -(-queries.count() // wave))
+    queries = materialize(queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(n_waves)).alias("wave")).distinct(), "queries")
+    path, waves = scratch_path(spark, "found"), 0
+    totals = {name: spark.sparkContext.accumulator(0) for name in ("pairs", "by_length", "by_partial_sums")}
+    for b in range(n_waves):
+        own = queries.filter(F.col("wave") == b).select("vec_id", "v").toArrow()
         if not own.num_rows:
             continue
-        block = Block(np.asarray(own["vec_id"]), np.asarray(own["v"].combine_chunks().flatten(), np.float64).reshape(-1, dim), turn, head, k)
-        q, _, s = search(block, iter([(probe_ids, probe_v)]), turn)
-        counts = np.bincount(q, minlength=len(block.ids))
+        block = Block(*_arrays(own, dim), turn, min(head, dim), k)
+        q, _, s = search(block, iter([probe]), turn)
+        full = np.bincount(q, minlength=len(block.ids)) >= k
         least = np.full(len(block.ids), np.inf)
-        np.minimum.at(least, q, s)
-        block.floor = np.where(counts >= k, least, -np.inf)
-        shared = spark.sparkContext.broadcast((block, turn))
+        np.minimum.at(least, q, s.astype(np.float64))
+        block.floor = np.where(full, least, -np.inf)
+        shared = spark.sparkContext.broadcast((block, turn))  # wave rows
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block, turn = shared.value
+            seen: dict = {}
 
             def chunks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 for batch in batches:
                     for i in range(0, batch.num_rows, BLOCK):
                         part = batch.slice(i, BLOCK)
-                        yield np.asarray(part.column(0)), np.asarray(part.column(1).flatten(), np.float64).reshape(-1, len(turn))
+                        yield np.asarray(part.column(0)), np.asarray(part.column(1).flatten(), np.int64).reshape(-1, len(turn))
 
-            q, c, s = search(block, chunks(), turn)
+            q, c, s = search(block, chunks(), turn, seen)
+            for name, n in seen.items():
+                totals[name].add(n)
             for i in range(0, len(q), 8192):
                 p = slice(i, i + 8192)
-                yield pa.RecordBatch.from_pydict({"query_id": block.ids[q[p]], "vec_id": c[p], "score": s[p].astype(np.int64)})
-
-        got = near.mapInArrow(run, schema)
-        found = got if found is None else found.union(got)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+                yield pa.RecordBatch.from_pydict({"query_id": block.ids[q[p]], "vec_id": c[p], "score": s[p]})
+
+        near.mapInArrow(run, schema).write.mode("append").parquet(path)
+        shared.destroy()
+        waves += 1
+    if counts is not None:
+        counts.update({name: total.value for name, total in totals.items()})
+    if not waves:
+        return empty
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = spark.read.schema(schema).parquet(path).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 

@@ -7,15 +7,17 @@ vectors, so that two terms together can mean what neither means alone; all
 pairs of a text cost as much as one pass over its places.
 
 Training uses a bounded sample of labelled documents (``sample``, drawn by a
-hash of doc_id, of those whose crc32(doc_id) mod 4 is not 2), gathered in
-hashed form on the driver; scoring covers every whole text.  Terms get weights
-if they are frequent or associated with the label, so rare words don't pass
-for evidence.  A fifth of the sample isn't trained on: it picks the epoch and
-calibrates the margin by a logistic fit, so that the score is the chance of
-label 1.
+hash of doc_id, of those whose crc32(doc_id) mod 4 is not 2); scoring covers
+every whole text.  Terms get weights if they are frequent or associated with
+the label, so rare words don't pass for evidence: a distributed count over the
+sample picks them, and only those reach the driver, so what is gathered
+doesn't grow with the length of texts.  A fifth of the sample isn't trained
+on: it picks the epoch and calibrates the margin by a logistic fit, so that
+the score is the chance of label 1.
 
 Defined results: null or empty texts have no features and get the bias'
-score; without labels, or with labels of one kind only, every score is the
+score; texts of any length are read whole; rows with a null doc_id are scored
+and are not held out; repeated rows get the same score; without labels, or with labels of one kind only, every score is the
 share of label 1 (0 if there are none); repeated labels of one document count
 each; rows are independent; other columns are left alone.
 """
@@ -30,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .kernel import LOWER, Words, mix, slices, span_hash
 
 DIM = 1 << 18
@@ -83,28 +86,23 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margins(place, at) * self.scale + self.shift, -30, 30)))
 
 
-def chosen(place: np.ndarray, at: np.ndarray, label: np.ndarray) -> np.ndarray:
+def chosen(place: np.ndarray, seen: np.ndarray, positive: np.ndarray, n: int, n_positive: float) -> np.ndarray:
     """Which places get weights: in five texts at least, and either frequent or associated with a label (z of 3.5)."""
-    n, share = len(label), label.mean()
-    doc = np.repeat(np.arange(n), np.diff(at))
-    seen = np.bincount(place, minlength=DIM)
-    z = (np.bincount(place, label[doc], DIM) - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share) * (1 - seen / n), 1e-9))
-    return (seen >= 5) & ((np.abs(z) >= 3.5) | (seen >= 0.02 * n))
+    used, share = np.zeros(DIM, bool), n_positive / n if n else 0.0
+    z = (positive - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share) * (1 - seen / max(n, 1)), 1e-9))
+    used[place[(seen >= 5) & ((np.abs(z) >= 3.5) | (seen >= 0.02 * n))]] = True
+    return used
 
 
-def fit(place: np.ndarray, at: np.ndarray, label: np.ndarray, epochs: int = 25, seed: int = 3) -> Machine:
-    """Adagrad on the logistic loss over small batches; a fifth of the rows picks the epoch and calibrates the margin."""
+def fit(place: np.ndarray, at: np.ndarray, label: np.ndarray, test: np.ndarray, used: np.ndarray, epochs: int = 25, seed: int = 3) -> Machine:
+    """Adagrad on the logistic loss over small batches; the rows of test pick the epoch and calibrate the margin."""
     rng = np.random.default_rng(seed)
     n = len(label)
     share = float(label.mean()) if n else 0.0
     m = Machine(np.log(share / (1 - share)) if 0 < share < 1 else 30.0 if share else -30.0, np.zeros(DIM, np.float32), np.zeros((DIM, FACTORS), np.float32))
-    test = rng.random(n) < 0.2
     if not 0 < share < 1 or not 0 < label[test].sum() < test.sum() or not 0 < label[~test].sum():
         return m
     doc = np.repeat(np.arange(n), np.diff(at))
-    own = ~test[doc]
-    train_at = np.concatenate([[0], np.cumsum(np.diff(at)[~test])])
-    used = chosen(place[own], train_at, label[~test])
     keep = used[place]
     doc, place = doc[keep], place[keep]
     at = np.searchsorted(doc, np.arange(n + 1))
@@ -178,13 +176,29 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
                 )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")  # at most sample rows
-    hashed = texts.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, places array<int>").toArrow().combine_chunks()
-    hashed = hashed.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    if not hashed.num_rows:
-        return fit(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0))
-    lists = hashed["places"].combine_chunks()
+    hashed = texts.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, places array<int>")
+    hashed = materialize(hashed.withColumn("test", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0), "hashed")
+    train = hashed.filter("not test")
+    counted = train.select("toxic", F.explode("places").alias("p")).groupBy("p").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).toArrow()  # DIM rows at most
+    sums = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    used = chosen(np.asarray(counted["p"]).astype(np.int64), np.asarray(counted["n"]), np.asarray(counted["t"]).astype(float), sums[0], float(sums[1]))
+    mask = docs.sparkSession.sparkContext.broadcast(np.packbits(used))  # DIM bits
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(mask.value).astype(bool)
+        for batch in batches:
+            place = np.asarray(batch.column(3).flatten())
+            own = wanted[place]
+            upto = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(np.asarray(batch.column(3).value_lengths()))]).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(place[own]))], ["doc_id", "toxic", "test", "places"])
+
+    rows = hashed.select("doc_id", "toxic", "test", "places").mapInArrow(pick, "doc_id long, toxic int, test boolean, places array<int>").toArrow().combine_chunks()
+    rows = rows.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    if not rows.num_rows:
+        return fit(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0), np.zeros(0, bool), used)
+    lists = rows["places"].combine_chunks()
     at = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]).astype(np.int64)
-    return fit(np.asarray(lists.flatten()).astype(np.int64), at, np.asarray(hashed["toxic"]).astype(float))
+    return fit(np.asarray(lists.flatten()).astype(np.int64), at, np.asarray(rows["toxic"]).astype(float), np.asarray(rows["test"]), used)
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:

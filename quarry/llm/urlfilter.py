@@ -17,7 +17,8 @@ All of it is DataFrame operations and Spark's own FP-growth.  A common host
 repeats the same tokens, so equal token sets are counted before rules are
 matched.  Tokens may stand in any share of the labelled urls, in all of them too.
 
-Defined results: null urls and urls without ``://`` have an empty host and
+Defined results: a rule rests on ``LEAST_ROWS`` labelled urls at least; urls of
+any length are read whole; null urls and urls without ``://`` have an empty host and
 path, no tokens and no rule, and are allowed; repeated rows count each; without
 labelled urls nothing is mined; other columns are left alone.
 """
@@ -35,6 +36,7 @@ from .common import broadcast_if_small, materialize
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SUPPORT, CONFIDENCE, LONGEST = 0.002, 0.8, 3
+LEAST_ROWS = 5  # labelled urls that a rule needs whatever the support
 
 
 def rest(url: Column) -> Column:
@@ -87,6 +89,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     if not n:
         return spark.createDataFrame([], schema)
     single = labelled.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    support = max(support, LEAST_ROWS / n) if n >= LEAST_ROWS else 1.0
     single = single.filter(F.col("n") >= support * n)
     frequent = [r["t"] for r in single.select("t").orderBy(F.desc("n"), "t").collect()]  # at most mean tokens / support
     if not frequent:
@@ -136,6 +139,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, **option
     sets = rows.filter("rule is null").select("tokens").distinct()
     verdicts = materialize(match(sets, mined, n_rules), "verdicts")
     named = rows.withColumn("own", F.when(F.col("rule").isNull(), F.to_json("tokens")))
-    joined = named.join(verdicts.select(F.to_json("tokens").alias("own"), "mined"), "own", "left")
+    # pages with a rule have no part in the join, so their null keys meet nowhere
+    mined_of = verdicts.select(F.to_json("tokens").alias("own"), "mined")
+    joined = named.filter("rule is null").join(mined_of, "own", "left").unionByName(named.filter("rule is not null").withColumn("mined", F.lit(None).cast("string")))
     verdict = F.coalesce(fixed_verdict(F.col("rule"), rules), "mined", F.lit("allow"))
     return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
