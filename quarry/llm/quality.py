@@ -232,7 +232,7 @@ def _starts(vectors: DataFrame) -> DataFrame:
     return both.mapInPandas(run, _PARAMS)
 
 
-def _step(vectors: DataFrame, params: DataFrame, groups: int, first: bool) -> DataFrame:
+def _step(vectors: DataFrame, params: DataFrame, groups: int, turn: int) -> DataFrame:
     """One concentration step: mean and covariance of the nearest rows of each group and start."""
     bin_ = F.least(F.lit(4000), F.greatest(F.lit(0), F.floor(F.log2(_distance() + 2.0**-8) * BINS) + 8 * BINS)).cast("int")
     near = vectors.join(broadcast_if_small(params.select("g", "start", *[f.name for f in _WEIGHTS]), groups), "g").withColumn("bin", bin_)
@@ -243,12 +243,12 @@ def _step(vectors: DataFrame, params: DataFrame, groups: int, first: bool) -> Da
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("bin")
         n, start = rows["n"].to_numpy(np.int64).cumsum(), int(rows["start"].iloc[0])
-        share = 0.5 if first and start == 2 else SHARE
+        share = 0.5 if turn == 0 and start == 2 else SHARE
         last = int(np.searchsorted(n, share * n[-1])) + 1
         mean, cov = _moments(rows.iloc[:last])
         row = _params_row(rows["g"].iloc[0], start, int(n[-1]), mean, cov)
         old = list(rows["before"].iloc[0])
-        if not first and row[3] >= old[0] - 1e-9:
+        if turn > (start == 2) and row[3] >= old[0] - 1e-9:  # the one before was of as many rows
             row[3:] = [old[0], False, *old[2:]]
         return pd.DataFrame([row], columns=_PARAMS.names)
 
@@ -259,11 +259,11 @@ def estimates(vectors: DataFrame) -> DataFrame:
     """Per g of vectors(g, x0..): the settled parameters of the start with the least determinant."""
     params = materialize(_starts(vectors), "params", small=True)
     fits = params.count()
-    left, first = fits, True
+    left, turn = fits, 0
     while left:
-        stepped = _step(vectors, params.filter("moved"), fits, first)
+        stepped = _step(vectors, params.filter("moved"), fits, turn)
         params = materialize(stepped.unionByName(params.filter("not moved")), "params", small=True)
-        left, first = params.filter("moved").count(), False
+        left, turn = params.filter("moved").count(), turn + 1
     columns = [c for c in params.columns if c not in ("g", "moved")]
     best = params.groupBy("g").agg(F.min_by(F.struct(*columns), F.struct("det", "start")).alias("best"))
     return best.select("g", "best.*")

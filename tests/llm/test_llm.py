@@ -223,7 +223,9 @@ def test_toxicity_learns_pairs():
         rows.append(sorted(x))
         y.append(float(a and b))
     at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    m = toxicity.fit(np.concatenate(rows), at, np.array(y), epochs=25)
+    used = np.zeros(toxicity.DIM, bool)
+    used[:400] = True
+    m = toxicity.fit(np.concatenate(rows), at, np.array(y), rnd.random(len(y)) < 0.2, used, epochs=25)
     score = lambda r: m.scores(np.array(r), np.array([0, len(r)]))[0]
     filler = list(range(50, 70))
     assert score([1, 2, *filler]) > 0.5 > max(score([1, *filler]), score([2, *filler]), score(filler))
