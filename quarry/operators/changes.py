@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import directory
+from ..plans.storage import ranked
 
 TICKS_PER_SECOND = 10_000_000
 LOCAL_MARGIN, NETWORK_MARGIN, SETTLE_MARGIN = 3 * TICKS_PER_SECOND, 3600 * TICKS_PER_SECOND, 3 * TICKS_PER_SECOND
@@ -127,7 +128,34 @@ def coalesce_events(events: DataFrame) -> DataFrame:
     return events.groupBy("batch_id", "path").agg(F.bool_or("structural").alias("structural"), F.count("*").alias("n_events"))
 
 
-def quiet_batches(events: DataFrame, key: str, gap: str) -> DataFrame:
-    """Debounce: events of a key belong together until none comes for the gap."""
+def quiet_batches(events: DataFrame, key: str, gap: str, max_wait_ms: int | None = None) -> DataFrame:
+    """Debounce: events of a key belong together until none comes for the gap; a group that lasts longer than max_wait_ms is cut there."""
     w = F.session_window("ts", gap)
-    return events.groupBy(key, w).agg(F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).drop("session_window")
+    groups = events.groupBy(key, w).agg(F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    if max_wait_ms is None:
+        return groups.drop("session_window")
+    spans = groups.select(F.col(key).alias("_key"), F.col("first_ts").alias("_from"), F.col("last_ts").alias("_to"))
+    held = events.join(spans, (F.col(key) == F.col("_key")) & (F.col("ts") >= F.col("_from")) & (F.col("ts") <= F.col("_to")))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    part = F.floor((micros("ts") - micros("_from")) / (max_wait_ms * 1000))
+    cut = held.groupBy(key, "_from", part.alias("_part")).agg(F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return cut.drop("_from", "_part")
+
+
+BATCH_CAP = 50_000
+
+
+def capped_batches(events: DataFrame, order: list[str], cap: int = BATCH_CAP) -> DataFrame:
+    """Add batch_no: at most cap events a batch, in order; a full batch goes at once."""
+    return ranked(events, order, "_r").withColumn("batch_no", F.floor(F.col("_r") / cap).cast("long")).drop("_r")
+
+
+def next_batch(batch: DataFrame, held: DataFrame) -> DataFrame:
+    """Paths of a batch and those held back from earlier ones, each once."""
+    return batch.select("path").unionByName(held.select("path")).distinct()
+
+
+def held_back(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """Paths that got no answer (absent, or a null listing): they are asked again with the next batch and never taken for deleted."""
+    known = answers.filter(F.col("listed").isNotNull()).select("path")
+    return asked.select("path").distinct().join(known, "path", "left_anti")

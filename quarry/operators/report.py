@@ -74,3 +74,71 @@ def prune_ignored(rows: DataFrame, extra: list[str] | None = None, keep: list[st
 def without_folder_changes(events: DataFrame) -> DataFrame:
     """Events without the changes of folders themselves; their files have events of their own."""
     return events.filter(~((F.col("kind") == "changed") & F.col("is_dir")))
+
+
+# answers and self-checks
+
+ANSWER = r"^(.*?):(\d+)(?:-(\d+))?:(\d+): (.*)$"
+
+
+def parse_answers(rows: DataFrame, column: str = "answer") -> DataFrame:
+    """Printed places as (path, line, end_line, col, rest); rows that are no places are left out."""
+    c = F.col(column)
+    part = lambda k: F.regexp_extract(c, ANSWER, k)
+    end = F.when(part(3) != "", part(3).cast("int"))
+    found = rows.filter(c.rlike(ANSWER))
+    return found.select(part(1).alias("path"), part(2).cast("int").alias("line"), F.coalesce(end, part(2).cast("int")).alias("end_line"), part(4).cast("int").alias("col"), part(5).alias("rest"))
+
+
+def set_difference(wanted: DataFrame, got: DataFrame) -> DataFrame:
+    """One row: how many rows are missing and how many are too many, repeats counted; both 0 for equal answers."""
+    names = wanted.columns
+    both = wanted.withColumn("_d", F.lit(1)).unionByName(got.select(names).withColumn("_d", F.lit(-1)))
+    each = both.groupBy(*names).agg(F.sum("_d").alias("d"))
+    return each.agg(F.coalesce(F.sum(F.greatest(F.col("d"), F.lit(0))), F.lit(0)).alias("missing"), F.coalesce(F.sum(F.greatest(-F.col("d"), F.lit(0))), F.lit(0)).alias("extra"))
+
+
+def io_totals(trace: DataFrame) -> DataFrame:
+    """Reads and bytes of a query's trace (has_blocks, bytes), with and without blocks."""
+    return trace.groupBy("has_blocks").agg(F.count("*").alias("reads"), F.sum("bytes").alias("bytes"))
+
+
+def biggest_readers(trace: DataFrame, top: int = 15) -> DataFrame:
+    return trace.groupBy("path").agg(F.sum("bytes").alias("bytes")).orderBy(F.desc("bytes"), "path").limit(top)
+
+
+def cache_list(sizes: DataFrame) -> DataFrame:
+    """(root, bytes, share): the size of each root's tables, largest first."""
+    each = sizes.groupBy("root").agg(F.sum("bytes").alias("bytes"))
+    total = each.agg(F.sum("bytes").alias("total"))
+    return each.join(F.broadcast(total)).select("root", "bytes", (F.col("bytes") / F.col("total")).alias("share")).orderBy(F.desc("bytes"), "root")  # one row
+
+
+def html(rows: DataFrame, title: str, limit: int = 1000) -> str:
+    """A page with one table of the first rows, for self-test and bench reports."""
+    from html import escape
+
+    head = "".join(f"<th>{escape(c)}</th>" for c in rows.columns)
+    body = "".join("<tr>" + "".join(f"<td>{escape(str(v))}</td>" for v in r) + "</tr>" for r in rows.limit(limit).collect())
+    return f"<!doctype html><meta charset=utf-8><title>{escape(title)}</title><h1>{escape(title)}</h1><table><tr>{head}</tr>{body}</table>"
+
+
+def parse_sweep(least: int = 64 << 10, most: int = 16 << 20) -> list[tuple[str, int, float]]:
+    """(shape, characters, seconds) of the definition scanner over texts of doubling sizes."""
+    import time
+
+    from . import symbols
+
+    shapes = {
+        "functions": "int f(int x) { return g(x); }\n", "nested": "namespace n { struct s { int v; }; }\n", "comments": "/* words in a comment */ // more\n",
+        "strings": 'const char *s = "text with { braces }";\n', "numbers": "0x1F, 0x2A, 1234567,\n", "one_line": "int a = b(c) + d[e]; ",
+    }
+    out, size = [], least
+    while size <= most:
+        for name, unit in shapes.items():
+            text = unit * (size // len(unit))
+            began = time.perf_counter()
+            symbols.scan("sweep.cpp", text, cap=None)
+            out.append((name, len(text), time.perf_counter() - began))
+        size *= 2
+    return out

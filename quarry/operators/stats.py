@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import extension
-from ..plans.storage import ranked
+from ..plans.storage import materialize, partitions, ranked
 
 # Upper bounds of the size buckets.
 EDGES = (256 << 10, 1 << 20, 2 << 20, 4 << 20, 8 << 20, 16 << 20, 128 << 20, 1 << 30)
@@ -30,12 +30,25 @@ def _by_size(files: DataFrame) -> DataFrame:
     return files.groupBy("size").agg(F.count("*").alias("n"))
 
 
+def _upto(sizes: DataFrame) -> DataFrame:
+    """Add upto: files of this size or a smaller one, by sums within ranges of sizes and the ranges' sums before them."""
+    spark = sizes.sparkSession
+    at = materialize(sizes.repartitionByRange(partitions(spark), "size").withColumn("_part", F.spark_partition_id()), "sizes")
+    sums = {r["_part"]: r["n"] for r in at.groupBy("_part").agg(F.sum("n").alias("n")).collect()}  # one row per partition
+    base, rows = 0, []
+    for p in sorted(sums):
+        rows.append((p, base))
+        base += sums[p]
+    before = spark.createDataFrame(rows, "_part int, _before long")
+    own = Window.partitionBy("_part").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    return at.join(F.broadcast(before), "_part").withColumn("upto", F.sum("n").over(own) + F.col("_before")).drop("_part", "_before")
+
+
 def concentration(files: DataFrame) -> DataFrame:
     """One row: files, bytes, largest, median (upper), and the shares of the largest 1 % and 2 % of files."""
-    sizes = _by_size(files)
+    sizes = _upto(_by_size(files))
     total = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.max("size").alias("largest"))
-    up = Window.orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sizes.withColumn("upto", F.sum("n").over(up)).crossJoin(F.broadcast(total))
+    placed = sizes.crossJoin(F.broadcast(total))  # one row
     above = F.col("files") - F.col("upto")  # files that are larger
     top = lambda p: F.greatest(F.lit(1), F.ceil(F.col("files") * p)).cast("long")
     part = lambda p: F.sum(F.greatest(F.lit(0), F.least(F.col("n"), top(p) - above)) * F.col("size")) / F.max("bytes")
@@ -111,9 +124,13 @@ def stride_sample(rows: DataFrame, order: list[str], n: int) -> DataFrame:
 
 
 def round_robin(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Add turn: each group's first row, then each group's second, larger groups first within a turn."""
-    w = Window.partitionBy(group)
-    return rows.withColumn("turn", F.row_number().over(w.orderBy(*order))).withColumn("group_size", F.count("*").over(w))
+    """Add turn and group_size: each group's first row, then each group's second; order by turn and -group_size.
+
+    Ranks come from range partitions and prefix sums, so a large group is many tasks.
+    """
+    placed = ranked(rows, [group, *order], "_rank")
+    groups = placed.groupBy(group).agg(F.min("_rank").alias("_first"), F.count("*").alias("group_size"))
+    return placed.join(groups, group).withColumn("turn", (F.col("_rank") - F.col("_first") + 1).cast("int")).drop("_rank", "_first")
 
 
 def first_per(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

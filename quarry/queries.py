@@ -778,6 +778,157 @@ def gitignore_classes(spark, sf_dir):
     return ignore.not_ignored(files(spark, sf_dir).select("path"), {k: ignore.parse(v) for k, v in CLASSES.items()})
 
 
+# answers, self-checks, traces
+
+
+@query("SELECT (CASE WHEN root = 'src0' THEN path ELSE '/repos/' || root || '/' || path END) AS path, line, line AS end_line, col, line_text AS rest FROM found WHERE length(line_text) <= 300 AND NOT contains(line_text, chr(13))")
+def parsed_answers(spark, sf_dir):
+    found = answer_lines(spark, sf_dir)
+    return report.parse_answers(found)
+
+
+@query("SELECT path, line, CASE WHEN end_line > line THEN end_line ELSE line END AS end_line, col, kind || ' ' || name AS rest FROM symbols WHERE name = 'f7'")
+def parsed_definitions(spark, sf_dir):
+    return report.parse_answers(definitions(spark, sf_dir), "location")
+
+
+@query("WITH a AS (SELECT path, line, col FROM found WHERE col % 2 = 0), b AS (SELECT path, line, col FROM found WHERE col % 3 = 0) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS missing, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS extra")
+def set_difference(spark, sf_dir):
+    h = search.hits(files(spark, sf_dir), "the").select("path", "line", "col")
+    return report.set_difference(h.filter("col % 2 = 0"), h.filter("col % 3 = 0"))
+
+
+@query("SELECT root, path, line, col FROM found WHERE col % 5 = 0")
+def misplaced_rows(spark, sf_dir):
+    f = files(spark, sf_dir)
+    moved = search.hits(f, "the").withColumn("col", F.when(F.col("col") % 5 == 0, F.col("col") + 100000).otherwise(F.col("col")))
+    return report.misplaced(moved, f, "the").withColumn("col", F.col("col") - 100000)
+
+
+def trace(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(F.col("user_id").cast("string").alias("path"), (F.col("event_id") % 2 == 0).alias("has_blocks"), F.floor(F.abs("value") * 100).cast("long").alias("bytes"), "event_type", "value")
+
+
+@query("SELECT event_id % 2 = 0 AS has_blocks, count(*) AS reads, sum(floor(abs(value) * 100)::BIGINT)::BIGINT AS bytes FROM events GROUP BY 1")
+def io_totals(spark, sf_dir):
+    return report.io_totals(trace(spark, sf_dir))
+
+
+@query("SELECT user_id::VARCHAR AS path, sum(floor(abs(value) * 100)::BIGINT)::BIGINT AS bytes FROM events GROUP BY 1 ORDER BY bytes DESC, path LIMIT 15")
+def biggest_readers(spark, sf_dir):
+    return report.biggest_readers(trace(spark, sf_dir))
+
+
+@query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(CASE WHEN k = ceil(n * 0.5::DOUBLE) THEN value END) AS p50, max(CASE WHEN k = ceil(n * 0.95::DOUBLE) THEN value END) AS p95, max(CASE WHEN k = ceil(n * 0.99::DOUBLE) THEN value END) AS p99 FROM r GROUP BY 1")
+def latency_percentiles(spark, sf_dir):
+    return stats.nearest_rank(trace(spark, sf_dir), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
+@query("WITH s AS (SELECT root, sum(size)::BIGINT AS bytes FROM files GROUP BY root) SELECT root, bytes, bytes::DOUBLE / (SELECT sum(bytes)::BIGINT FROM s) AS share FROM s")
+def cache_sizes(spark, sf_dir):
+    return report.cache_list(files(spark, sf_dir).select("root", F.col("size").alias("bytes")))
+
+
+# remaining predicates
+
+
+@query("SELECT path, length(text) > 3000 AND doc_id % 5 IN (0, 1, 4) AS skipped FROM files")
+def skipped_for_size(spark, sf_dir):
+    f = files(spark, sf_dir).select("path", "text")
+    skip = F.udf(lambda p, t: symbols.would_skip(p, t or "", 3000), "boolean")
+    return f.select("path", skip("path", "text").alias("skipped"))
+
+
+@query(r"SELECT path, CASE WHEN length(t) <= 300 THEN t ELSE substr(t, 1, 300) || '… (part of ' || format('{:,}', length(t)) || ' characters in this line)' END AS shown FROM (SELECT path, string_split(text, chr(10))[1] AS t FROM files)")
+def first_lines(spark, sf_dir):
+    line = F.get(tx.lines(F.col("text")), F.lit(0))
+    return files(spark, sf_dir).select("path", tx.head(line).alias("shown"))
+
+
+@query("SELECT event_id, ts FROM events")
+def ticks_round_trip(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    back = changes.from_ticks(changes.ticks(F.col("ts")))
+    return e.select("event_id", back.cast(dict(e.dtypes)["ts"]).alias("ts"))
+
+
+_ENDS = ["", ".cs", "\\(", "\\w", "\\", "\\<", "x*", "[a]", "a|b", "$"]
+
+
+@query(f"WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS t FROM documents), p AS (SELECT DISTINCT t || ({_ENDS})[length(t) % 10 + 1] AS t FROM w) " .replace("\\\\", "\\") + r"SELECT t AS pattern, NOT regexp_full_match(t, '(?s)(?:[^\\|*+?()\[\]{}^$]|\\[^\p{L}\p{N}<>])*') AS is_regex FROM p")
+def regex_patterns(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = d.select(F.explode(F.split("text", " ", -1)).alias("t")).distinct()
+    end = F.element_at(F.array(*[F.lit(x) for x in _ENDS]), (F.length("t") % 10 + 1).cast("int"))
+    return words.select(F.concat("t", end).alias("pattern")).distinct().withColumn("is_regex", tx.looks_like_regex(F.col("pattern")))
+
+
+@query("SELECT DISTINCT n.n_name AS project FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE s.s_suppkey % 7 = 3 AND n.n_name <> 'CHINA'")
+def linking_projects(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(spark.read.parquet(f"{sf_dir}/nation.parquet"), F.col("s_nationkey") == F.col("n_nationkey"))
+    links = s.select(F.col("n_name").alias("project"), F.concat(F.lit("root"), (F.col("s_suppkey") % 7).cast("string")).alias("linked_root"))
+    return refs.linking_projects(links, "root3", "CHINA")
+
+
+@query("SELECT event_id FROM events WHERE NOT (event_type = 'click' AND event_id % 4 = 0)")
+def folder_changes(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.when(F.col("event_type") == "click", "changed").otherwise(F.col("event_type"))
+    return report.without_folder_changes(e.select("event_id", kind.alias("kind"), (F.col("event_id") % 4 == 0).alias("is_dir"))).select("event_id")
+
+
+@query(f"SELECT path FROM files WHERE NOT ({_DIR.format(', '.join(repr(d) for d in ps.IGNORED_DIRS))} OR {_EXT} IN ({', '.join(map(repr, ps.IGNORED_EXTENSIONS))}))")
+def pruned_rows(spark, sf_dir):
+    return report.prune_ignored(files(spark, sf_dir)).select("path")
+
+
+_SUFFIXES = [".designer.cs", ".Designer.vb", ".g.cs", ".g.i.cs", ".generated.cs", ".cs", ".g.ts"]
+
+
+@query(f"SELECT p AS path, regexp_matches(lower(p), '\\.(designer\\.cs|designer\\.vb|g\\.cs|g\\.i\\.cs|generated\\.cs)$') AS generated FROM (SELECT doc_id || ({_SUFFIXES})[doc_id % 7 + 1] AS p FROM documents)")
+def generated_files(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    p = F.concat(F.col("doc_id").cast("string"), F.element_at(F.array(*[F.lit(x) for x in _SUFFIXES]), (F.col("doc_id") % 7 + 1).cast("int")))
+    return d.select(p.alias("path")).withColumn("generated", ps.is_generated(F.col("path")))
+
+
+@query("SELECT DISTINCT '/repos/' || root AS root FROM files WHERE root = 'src1' UNION ALL SELECT '/work/src1'")
+def focus_tiers(spark, sf_dir):
+    every = files(spark, sf_dir).select(F.concat(F.lit("/repos/"), "root").alias("root")).distinct()
+    more = spark.createDataFrame([("/work/src1",), ("/other/src1x",)], "root string")
+    return refs.focus(every.union(more), "SRC1")
+
+
+# batches
+
+
+@query("SELECT event_id, ((row_number() OVER (ORDER BY ts, event_id) - 1) // 1000)::BIGINT AS batch_no FROM events")
+def capped_batches(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return changes.capped_batches(e.select("event_id", "ts"), ["ts", "event_id"], 1000).select("event_id", "batch_no")
+
+
+@query(
+    """
+WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g),
+f AS (SELECT *, min(ts) OVER (PARTITION BY user_id, k) AS f FROM s)
+SELECT user_id, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts FROM f GROUP BY user_id, k, (epoch_us(ts) - epoch_us(f)) // 43200000000
+"""
+)
+def debounce_max_wait(spark, sf_dir):
+    return changes.quiet_batches(feed(spark, sf_dir), "user_id", "6 hours", 12 * 3600 * 1000)
+
+
+@query("SELECT DISTINCT path FROM feed WHERE batch_id = 1 AND path NOT IN (SELECT path FROM feed WHERE batch_id = 1 AND event_id % 3 <> 0) UNION SELECT path FROM feed WHERE batch_id = 2")
+def retried_paths(spark, sf_dir):
+    f = feed(spark, sf_dir)
+    answers = f.filter("batch_id = 1").select("path", F.when(F.col("event_id") % 3 != 0, F.lit(True)).alias("listed"))
+    held = changes.held_back(f.filter("batch_id = 1"), answers)
+    return changes.next_batch(f.filter("batch_id = 2"), held)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
