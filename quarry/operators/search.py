@@ -144,7 +144,9 @@ def batch_contains(texts: DataFrame, probes: DataFrame, text_key: str, probe_key
     asked = rare.groupBy(probe_key).agg(F.count("*").alias("_k"))
     pairs = held.join(asked, probe_key).filter(F.col("_n") == F.col("_k")).select(probe_key, text_key)
     short = probes.filter(F.length("text").isin(1, 2)).select(probe_key, F.col("text").alias("_short"))
-    pieces = F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda i, n=n: F.substring(F.col("text"), i, F.lit(n))) for n in (1, 2)])))
+    starts = F.sequence(F.lit(1), F.length("text"))
+    pieces = F.concat(*[F.transform(starts, part) for part in (lambda i: F.substring(F.col("text"), i, F.lit(1)), lambda i: F.substring(F.col("text"), i, F.lit(2)))])
+    pieces = F.array_distinct(pieces)
     spread = texts.filter(F.length("text") > 0).select(text_key, F.explode(pieces).alias("_short"))
     found = short.join(spread, "_short").select(probe_key, text_key)
     full = pairs.join(probes.select(probe_key, F.col("text").alias("_probe")), probe_key).join(texts.select(text_key, F.col("text").alias("_text")), text_key)
