@@ -90,7 +90,18 @@ def is_comment_aware(path: Column) -> Column:
 
 def inside_repo(path: Column) -> Column:
     """Relative, without '..' parts and not rooted (a drive letter counts as a root)."""
-    return ~path.rlike(r"^([/\\]|[A-Za-z]:)") & ~path.rlike(r"(^|[/\\])\.\.([/\\]|$)") & (F.length(path) > 0)
+    return ~path.rlike(r"^([/\\]|[A-Za-z]:)") & ~path.rlike(r"(^|[/\\])\.\.([/\\]|$)") & (F.length(path) > 0) & (path != ".")
+
+
+def is_bare_name(name: Column) -> Column:
+    """A file's name alone, without any folder."""
+    return (F.length(name) > 0) & ~name.rlike(r"[/\\]")
+
+
+def is_under(child: Column, parent: Column) -> Column:
+    """Is child the folder parent or inside it, in any case and with either slash?"""
+    plain = lambda c: F.rtrim(F.lower(F.translate(c, "\\", "/")), F.lit("/"))
+    return (plain(child) == plain(parent)) | F.startswith(plain(child), F.concat(plain(parent), F.lit("/")))
 
 
 def display(path: Column, root: Column, is_primary: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.paths import directory
 from ..plans.storage import ranked
@@ -15,6 +14,7 @@ UNIX_TICKS = 621_355_968_000_000_000
 BINARY_HASH = "F" * 32
 REBUILD_OVER = 2000
 COMPACT_AT = 64
+FOLD_PART, FOLD_LEAST, FOLD_MOST = 32, 1024, 50_000
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keep_same: bool = False) -> DataFrame:
@@ -41,6 +41,20 @@ def merge_ledger(base: DataFrame, overlay: DataFrame, removed: DataFrame) -> Dat
     return base.join(gone, "path", "left_anti").unionByName(overlay)
 
 
+def fold_due(n_overlay: Column, n_base: Column) -> Column:
+    """Is an overlay so large that it's folded into a new base: a 32nd of it, between a least and a greatest count?"""
+    return n_overlay >= F.least(F.lit(FOLD_MOST), F.greatest(F.lit(FOLD_LEAST), F.floor(n_base / FOLD_PART)))
+
+
+def entries(ledger: DataFrame, path: str | None = None, prefix: str | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
+    """A ledger's entries: one path, those below a prefix, those from first up to but without last, or all; every filter reaches the scan."""
+    c = F.col("path")
+    for value, test in ((path, c == F.lit(path)), (prefix, c.startswith(prefix or "")), (first, c >= F.lit(first)), (last, c < F.lit(last))):
+        if value is not None:
+            ledger = ledger.filter(test)
+    return ledger
+
+
 def unseen(ledger: DataFrame, seen: DataFrame) -> DataFrame:
     return ledger.select("path").join(seen.select("path"), "path", "left_anti")
 
@@ -113,10 +127,10 @@ def recorded_mtime(mtime: Column, ctime: Column, read_start: Column, prior_mtime
     )
 
 
-def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The row of each key with the greatest values of order; partial results come before the shuffle, so a hot key is one row a task."""
+    last = F.max_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(last.alias("_last")).select("_last.*")
 
 
 def live(rows: DataFrame, tombstones: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import paths as ps
 from ..functions import text as tx
+from .symbols import skipped as by_size
 
 CHARS_PER_TOKEN = 4
 
@@ -27,6 +28,15 @@ def symbols_per_extension(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy(ps.extension(F.col("path")).alias("ext")).agg(F.count_distinct("root", "path").alias("files"), F.count("*").alias("symbols"))
 
 
+def symbol_profile(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Per extension: files, those with a symbol, those skipped for size or as numeric data, and the most symbols of one file."""
+    per_file = symbols.groupBy("root", "path").agg(F.count("*").alias("_n"))
+    rows = files.select("root", "path", by_size(F.col("path"), F.col("text")).alias("_skipped")).join(per_file, ["root", "path"], "left")
+    return rows.groupBy(ps.extension(F.col("path")).alias("ext")).agg(
+        F.count("*").alias("files"), F.count("_n").alias("with_symbols"), F.count_if("_skipped").alias("skipped"), F.coalesce(F.max("_n"), F.lit(0)).alias("most_symbols")
+    )
+
+
 def broad_names(symbols: DataFrame, calls: DataFrame, top: int = 10) -> DataFrame:
     """Defined names by how often they are called."""
     uses = calls.groupBy("name").agg(F.count("*").alias("uses"))

@@ -134,5 +134,6 @@ def round_robin(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
 
 
 def first_per(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    """The row of each key with the least values of order; partial results come before the shuffle."""
+    first = F.min_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(F.col(key).alias("_key")).agg(first.alias("_first")).select("_first.*")

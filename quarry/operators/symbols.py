@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as ps
@@ -383,6 +383,12 @@ def would_skip(path: str, text: str, cap: int = MAX_CHARS) -> bool:
     return False
 
 
+def skipped(path: Column, text: Column, cap: int = MAX_CHARS) -> Column:
+    """The same as an expression, for reports that needn't send texts to Python."""
+    numeric = (F.length(text) > BLOB_CHARS) & tx.is_numeric_data(text)
+    return ps.extension(path).isin(list(lexing.LANGUAGES)) & F.coalesce((F.length(text) > cap) | numeric, F.lit(False))
+
+
 def scan(path: str, text: str, cap: int | None = MAX_CHARS) -> tuple[list[tuple], list[tuple]]:
     """Symbols (name, kind, line, col, end_line) and calls (caller, name, line, col, seq, inactive) of one file."""
     lang = lexing.language(path)

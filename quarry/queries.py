@@ -502,7 +502,7 @@ def recorded_mtime(spark, sf_dir):
 
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS r FROM feed) SELECT path, event_id, is_delete FROM r WHERE r = 1")
 def latest_doc_per_path(spark, sf_dir):
-    return changes.latest(feed(spark, sf_dir), ["path"], [F.desc("ts"), F.desc("event_id")]).select("path", "event_id", "is_delete")
+    return changes.latest(feed(spark, sf_dir), ["path"], ["ts", "event_id"]).select("path", "event_id", "is_delete")
 
 
 @query("SELECT event_id, path FROM feed f WHERE NOT is_delete AND NOT EXISTS (SELECT 1 FROM feed d WHERE d.is_delete AND d.path = f.path AND d.batch_id = f.batch_id)")
@@ -513,7 +513,7 @@ def tombstone_antijoin(spark, sf_dir):
 
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY batch_id DESC, event_id DESC) AS r FROM feed) SELECT path, batch_id AS segment, event_id FROM r WHERE r = 1 AND NOT is_delete")
 def segment_merge(spark, sf_dir):
-    last = changes.latest(feed(spark, sf_dir), ["path"], [F.desc("batch_id"), F.desc("event_id")])
+    last = changes.latest(feed(spark, sf_dir), ["path"], ["batch_id", "event_id"])
     return last.filter("not is_delete").select("path", F.col("batch_id").alias("segment"), "event_id")
 
 
@@ -836,8 +836,7 @@ def cache_sizes(spark, sf_dir):
 @query("SELECT path, length(text) > 3000 AND doc_id % 5 IN (0, 1, 4) AS skipped FROM files")
 def skipped_for_size(spark, sf_dir):
     f = files(spark, sf_dir).select("path", "text")
-    skip = F.udf(lambda p, t: symbols.would_skip(p, t or "", 3000), "boolean")
-    return f.select("path", skip("path", "text").alias("skipped"))
+    return f.select("path", symbols.skipped(F.col("path"), F.col("text"), 3000).alias("skipped"))
 
 
 @query(r"SELECT path, CASE WHEN length(t) <= 300 THEN t ELSE substr(t, 1, 300) || '… (part of ' || format('{:,}', length(t)) || ' characters in this line)' END AS shown FROM (SELECT path, string_split(text, chr(10))[1] AS t FROM files)")
@@ -900,6 +899,43 @@ def focus_tiers(spark, sf_dir):
     return refs.focus(every.union(more), "SRC1")
 
 
+@query(r"SELECT path, line, col, regexp_extract(substr(line_text, col), '^[\p{L}\p{Nd}_]*') AS identifier FROM found")
+def identifiers_at(spark, sf_dir):
+    h = search.hits(files(spark, sf_dir), "the")
+    return h.select("path", "line", "col", tx.identifier_at(F.col("line_text"), F.col("col")).alias("identifier"))
+
+
+@query(r"SELECT path FROM files WHERE regexp_matches(text, '(^|[^\p{L}\p{Nd}_])the($|[^\p{L}\p{Nd}_])')")
+def files_with_word(spark, sf_dir):
+    return files(spark, sf_dir).filter(tx.has_whole_word(F.col("text"), "the")).select("path")
+
+
+@query(r"SELECT path, regexp_matches(path, '^[^/]+$') AS bare, starts_with(lower(path) || '/', 'src1/lib/') AS under FROM (SELECT CASE doc_id % 3 WHEN 0 THEN regexp_extract(path, '[^/]*$') WHEN 1 THEN upper(path) ELSE path END AS path FROM files UNION ALL SELECT 'src1/LIB')")
+def path_places(spark, sf_dir):
+    f, path = files(spark, sf_dir), F.col("path")
+    p = f.select(F.when(F.col("doc_id") % 3 == 0, ps.basename(path)).when(F.col("doc_id") % 3 == 1, F.upper(path)).otherwise(path).alias("path"))
+    p = p.union(spark.range(1).select(F.lit("src1/LIB")))
+    return p.select("path", ps.is_bare_name(path).alias("bare"), ps.is_under(path, F.lit("Src1\\lib/")).alias("under"))
+
+
+@query(r"WITH n AS (SELECT root, path, count(*) AS n FROM symbols GROUP BY root, path) SELECT regexp_extract(c.path, '\.[^.]+$') AS ext, count(*) AS files, count(n) AS with_symbols, 0::BIGINT AS skipped, coalesce(max(n), 0) AS most_symbols FROM code c LEFT JOIN n USING (root, path) GROUP BY 1")
+def symbol_profile(spark, sf_dir):
+    f = code(spark, sf_dir)
+    return report.symbol_profile(f, symbols.extract(f))
+
+
+@query("SELECT path, content_hash FROM old WHERE path >= 'src1/' AND path < 'src2/bin' AND path LIKE 'src2/%'")
+def ledger_entries(spark, sf_dir):
+    return changes.entries(snapshots(spark, sf_dir)[0], prefix="src2/", first="src1/", last="src2/bin")
+
+
+@query("SELECT user_id, (count(*) * (user_id % 40))::BIGINT AS n_overlay, count(*) * (user_id % 40) >= least(50000, greatest(1024, (max(event_id) * 4) // 32)) AS due FROM events GROUP BY user_id")
+def fold_decision(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id")
+    e = e.agg((F.count("*") * (F.col("user_id") % 40)).cast("long").alias("n_overlay"), (F.max("event_id") * 4).alias("n_base"))
+    return e.select("user_id", "n_overlay", changes.fold_due(F.col("n_overlay"), F.col("n_base")).alias("due"))
+
+
 # batches
 
 

@@ -13,7 +13,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import changes
 from ..plans.index import Index
@@ -39,8 +38,7 @@ def debounced(events: DataFrame, quiet: str = "1 second", late: str = "10 second
 
 
 def last_events(batch: DataFrame) -> DataFrame:
-    w = Window.partitionBy("root", "path").orderBy(F.desc("event_id"))
-    return batch.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    return changes.latest(batch, ["root", "path"], ["event_id"])
 
 
 def apply_batch(index: Index, batch: DataFrame, reconcile: Callable[[], DataFrame] | None = None) -> dict:

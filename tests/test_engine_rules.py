@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry import codeset, fixture
 from quarry.engine import Engine, refused_link
+from quarry.functions import paths as ps
 from quarry.operators import blocks, changes, report, search, symbols
 from quarry.plans import index as plans
 from quarry.plans.index import Conflict, Index
@@ -151,3 +152,30 @@ def test_made_files_hold_what_their_tables_say(spark, sf):
     f = codeset.corpus(spark, sf)
     assert {r["ext"] for r in f.select(F.regexp_extract("path", r"\.[^.]+$", 0).alias("ext")).distinct().collect()} == set(codeset.ENDINGS)
     assert symbols.extract(f).count() and fixture.corpus(spark).count() == 41
+
+
+def test_latest_row_of_each_key(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y"), (None, 5, "n"), (None, None, "m")], "k string, at int, v string")
+    assert sorted((r["k"] or "", r["v"]) for r in changes.latest(rows, ["k"], ["at"]).collect()) == [("", "n"), ("a", "z")]
+    assert changes.latest(rows, ["k"], ["at"]).columns == ["k", "at", "v"] and changes.latest(rows.limit(0), ["k"], ["at"]).count() == 0
+
+
+def test_ledger_entries_and_folding(spark):
+    rows = spark.createDataFrame([("a/1",), ("a/2",), ("ab",), ("b",)], "path string")
+    paths = lambda **k: sorted(r["path"] for r in changes.entries(rows, **k).collect())
+    assert paths(path="ab") == ["ab"] and paths(prefix="a/") == ["a/1", "a/2"] and paths(first="a/2", last="b") == ["a/2", "ab"] and len(paths()) == 4
+    sizes = spark.createDataFrame([(1023, 0), (1024, 0), (1024, 40_000), (1250, 40_000), (49_999, 10**7), (50_000, 10**7)], "o long, b long")
+    assert [r[0] for r in sizes.select(changes.fold_due(F.col("o"), F.col("b"))).collect()] == [False, True, False, True, False, True]
+
+
+def test_skipped_files_as_an_expression(spark):
+    texts = ["x", "int a; " * 200, "0x1F, 22,\n" * 200, None]
+    rows = spark.createDataFrame([(p, t) for p in ("a.c", "a.txt", "b.py") for t in texts], "path string, text string")
+    got = rows.select("path", "text", symbols.skipped(F.col("path"), F.col("text"), 1000).alias("s")).collect()
+    assert all(r["s"] == symbols.would_skip(r["path"], r["text"] or "", 1000) for r in got) and any(r["s"] for r in got)
+
+
+def test_places_of_paths(spark):
+    rows = spark.createDataFrame([(".",), ("..",), ("..foo",), ("a/../b",), ("a\\b",), ("a.c",), ("",)], "p string")
+    got = {r["p"]: (r["i"], r["b"]) for r in rows.select("p", ps.inside_repo(F.col("p")).alias("i"), ps.is_bare_name(F.col("p")).alias("b")).collect()}
+    assert [p for p, (i, _) in got.items() if i] == ["..foo", "a\\b", "a.c"] and "a.c" in [p for p, (_, b) in got.items() if b] and not got["a\\b"][1]
