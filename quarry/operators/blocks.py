@@ -34,9 +34,9 @@ def key_hashes(keys: np.ndarray) -> np.ndarray:
 
 
 def cut(text: str, size: int = BLOCK_CHARS) -> list[tuple[int, int]]:
-    """Blocks that end at a line's end, or anywhere if a line is longer than a block."""
+    """Blocks that end at a line's end, or anywhere if a line is longer than a block; an empty text is one empty block."""
     out, at = [], 0
-    while at < len(text):
+    while at < len(text) or not out:
         end = min(len(text), at + size)
         if end < len(text) and (line := text.rfind("\n", at, end)) >= 0:
             end = line + 1
@@ -46,15 +46,18 @@ def cut(text: str, size: int = BLOCK_CHARS) -> list[tuple[int, int]]:
 
 
 def blocks(files: DataFrame, size: int = BLOCK_CHARS, seam: int = SEAM) -> DataFrame:
-    """One row per block, with the text that follows as its seam, so a match over a cut is found in the block it starts in."""
+    """One row per block, with the text that follows as its seam, so a match over a cut is found in the block it starts in.
+
+    Given a seam of 1 or more, it is empty in the last block of a text and no other; a null text has no block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in BLOCK.split(", ")]
         for batch in batches:
             for k, text in enumerate(batch.column(2)):
-                text = text.as_py() or ""
+                text = text.as_py()
                 rows, line, column = [], 1, 1
-                for no, (s, e) in enumerate(cut(text, size)):
+                for no, (s, e) in enumerate([] if text is None else cut(text, size)):
                     rows.append((no, line, column, s, text[s:e], text[e : e + seam]))
                     line += text.count("\n", s, e)
                     column = e - text.rfind("\n", 0, e)

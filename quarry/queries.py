@@ -633,9 +633,9 @@ def block_search_icase(spark, sf_dir):
 
 @query("SELECT path, count(*) AS lines FROM lines GROUP BY path")
 def block_start_lines(spark, sf_dir):
-    b = blocks.blocks(files(spark, sf_dir), 2048)
-    last = F.struct("block_no", (F.col("start_line") + F.size(tx.lines(F.col("text"))) - 1).alias("n"))
-    return b.groupBy("path").agg(F.max(last)["n"].cast("long").alias("lines"))
+    b = blocks.blocks(files(spark, sf_dir), 2048, 1)
+    last = F.col("start_line") + F.size(tx.lines(F.col("text"))) - 1
+    return b.filter("seam = ''").groupBy("path").agg(F.sum(last).alias("lines"))  # several texts may share a path, or have none
 
 
 # code: every document as a source file

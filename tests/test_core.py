@@ -96,6 +96,30 @@ def test_blocks_refuse_queries_beyond_the_seam(spark):
             blocks.pruned(blocks.filters(b), asked, seam=seam)
 
 
+def test_every_text_has_a_last_block(spark):
+    texts = ["", None, "\n", "x" * 16, "x" * 15 + "\n", "x" * 16 + "\n", "a\r\nb\n" * 9, "𝄞" * 40]
+    df = spark.createDataFrame([("r", str(i), t) for i, t in enumerate(texts)], "root string, path string, text string")
+    b = blocks.blocks(df, 16, 1)
+    last = b.filter("seam = ''").select("path", "start_line", "text").collect()
+    assert sorted((r["path"], r["start_line"] + r["text"].count("\n")) for r in last) == [(str(i), t.count("\n") + 1) for i, t in enumerate(texts) if t is not None]
+    assert blocks.filters(b).count() == b.count()
+    rows = b.orderBy("path", "block_no").collect()
+    assert ["".join(r["text"] for r in rows if r["path"] == str(i)) for i in range(len(texts))] == [t or "" for t in texts]
+
+
+def test_start_lines_of_odd_documents(spark, tmp_path):
+    """Empty and null texts, texts without a path, several texts of one path."""
+    docs = [
+        (0, "", "en", "s"), (1, None, "en", "s"), (2, "a\nb", None, "s"), (3, "a\n" * 3000, "en", None), (4, "c", None, None), (5, "a\n", "en", "s"), (5, "b\n" * 3000, "en", "s"),
+        (6, "", "en", "s"), (6, "x", "en", "s"), (7, None, "en", "s"), (7, "z\n", "en", "s"), (8, "x" * 2047 + "\n", "en", "s"), (9, "", None, "s"),
+    ]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    table.coalesce(1).write.parquet(str(tmp_path / "all"))
+    (tmp_path / "sf").mkdir()
+    next((tmp_path / "all").glob("*.parquet")).rename(tmp_path / "sf" / "documents.parquet")
+    _same(spark, str(tmp_path / "sf"), "block_start_lines")
+
+
 def test_ignore_rules():
     case = lambda text, path, folder=False: ignore.ignored({"": ignore.parse(text)}, path, folder)
     for text, path, want in [
